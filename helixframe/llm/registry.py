@@ -7,8 +7,10 @@ output.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import bpe, chat, ngram_join, secrets
+from .common import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +21,43 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
+def vocabulary_path() -> str:
+    """The byte-level vocabulary of the installed tokenizer files."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_encode(_table(spark, sf_dir, "documents"), vocabulary_path(), ids=False, digests=True)
+
+
+def _joined(spans: F.Column) -> F.Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan_secrets(_table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE_KINDS))
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.sql(r"""SELECT * FROM VALUES (-7L, 0L, 'user', r'\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', r'\### Assistant: </turn> ok') AS t(conv_id, turn, role, text)""")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    made = stored(chat.format_trees(chat.chain(turns, "conv_id", "turn", "role", "text")), "formatted")
+    text = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
+    ordered = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", c.alias("x")))), lambda s: s["x"]), "")
+    back = chat.read_back(made).groupBy("tree").agg(
+        F.count("*").alias("n_turns"), F.sha2(ordered(text), 256).alias("turns_sha256"), ordered(F.coalesce("learned", F.lit(""))).alias("learned")
+    )
+    sizes = made.select(F.col("tree").alias("t"), F.length("formatted").cast("long").alias("formatted_chars"))
+    both = back.join(sizes, F.col("tree").eqNullSafe(F.col("t")))
+    return both.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
+
+
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join, op3_bpe, op5_secret_scans, op9_chat_formatting)}
 
 ORACLE_SQL = {
     "op2_ngram_jaccard_join": """
@@ -37,5 +75,18 @@ r(x, y) AS (
   SELECT doc_id, doc_id FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, m.component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) m ON m.x = d.doc_id
+""",
+    "op9_chat_formatting": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, length(role || text) + 4 * (length(role || text) - length(replace(role || text, '&', '')))
+    + 3 * (length(role || text) - length(replace(replace(role || text, '<', ''), '>', ''))) + 11 AS c FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sum(c)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
 """,
 }

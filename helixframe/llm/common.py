@@ -46,13 +46,14 @@ ASCII_LOWER[65:91] += 32
 class Words:
     """Words of a list of texts: 64-bit hashes, byte bounds in ``buf``, and per text the first word and the number of words."""
 
-    __slots__ = ("buf", "ends", "first", "hash", "n", "starts", "text_at")
+    __slots__ = ("buf", "ends", "first", "hash", "n", "raw", "starts", "text_at")
 
     def __init__(self, texts: list[bytes], seps: np.ndarray = SPACE_LUT, lower: bool = True):
         buf = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.text_at = np.zeros(len(texts) + 1, np.int64)
         np.cumsum(sizes, out=self.text_at[1:])
+        self.raw = buf
         if lower:
             buf = ASCII_LOWER[buf]
         gap = seps[buf]
@@ -148,7 +149,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a table that ``stored`` wrote once nothing reads it any more."""
+    jvm, spark = df.sparkSession._jvm, df.sparkSession
+    path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def within(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = BROADCAST_IDS) -> DataFrame:

@@ -138,3 +138,16 @@ def test_live_depth(spark, tmp_path):
     q = live_depth(spark, str(folder), table).writeStream.outputMode("complete").format("memory").queryName("depths").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("select sum(depth) from depths").first()[0] == 7 + 12 + 4
+
+
+def test_alignments_by_content(spark, tmp_path):
+    from helixframe.sources.alignments import read_alignments
+
+    (tmp_path / "a.txt").write_text(TEXT)
+    assert read_alignments(spark, str(tmp_path / "a.txt")).count() == 3
+    (tmp_path / "b.bin").write_bytes(b"CRAM\x03\x00")
+    with pytest.raises(ValueError):
+        read_alignments(spark, str(tmp_path / "b.bin"))
+    (tmp_path / "c.bin").write_bytes(b"xx")
+    with pytest.raises(ValueError):
+        read_alignments(spark, str(tmp_path / "c.bin"))

@@ -74,7 +74,7 @@ def write_vcf(lines: DataFrame, header: list[str], path: str, contigs: list[str]
     """lines: (contig, pos, line[, rlen]).  A ``.vcf`` path becomes a folder of text parts in order, the header first; ``.gz`` one of blocked, indexed parts."""
     kind, spark = output_format(path), lines.sparkSession
     if kind == "bcf":
-        raise ValueError("BCF is not written")
+        raise ValueError("BCF takes typed rows, not lines: see write_bcf")
     order = F.array_position(F.array(*map(F.lit, contigs)), F.col("contig"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = lines.withColumn("rlen", F.col("rlen") if "rlen" in lines.columns else F.lit(1)).repartitionByRange(n, order, "pos").sortWithinPartitions(order, "pos")

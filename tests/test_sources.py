@@ -151,3 +151,39 @@ def test_alignments_by_content(spark, tmp_path):
     (tmp_path / "c.bin").write_bytes(b"xx")
     with pytest.raises(ValueError):
         read_alignments(spark, str(tmp_path / "c.bin"))
+
+
+def test_bcf(spark, tmp_path, small):
+    import struct
+
+    from helixframe.functions.variants import header_text
+    from helixframe.plans.synthetic import CHUNK, contigs, reference
+    from helixframe.plans.synthetic import reads as made
+    from helixframe.sources import bcf
+
+    calls = pileups.call_snvs(pileup(made(spark, small)), reference(spark), CHUNK)
+    names = [r["name"] for r in contigs(spark).orderBy("tid").collect()]
+    header = header_text([(n, 4100) for n in names], infos=[("DP", "1", "Integer", "d"), ("AF", "A", "Float", "a")], formats=[("GT", "1", "String", "g"), ("DP", "1", "Integer", "d")], samples=["s"])
+    bcf.write_bcf(bcf.call_rows(calls), header, str(tmp_path / "o.bcf"), names, partitions=2)
+    assert bcf.dictionary(header) == {"PASS": 0, "DP": 1, "AF": 2, "GT": 3}
+    got = []
+    for p in (tmp_path / "o.bcf").glob("*.bcf"):
+        r = bgzf.Reader(p.open("rb"))
+        assert r.read(5) == b"BCF\x02\x02"
+        assert r.read(struct.unpack("<I", r.read(4))[0]).decode().rstrip("\0").splitlines() == header
+        while len(size := r.read(8)) == 8:
+            shared, own = struct.unpack("<II", size)
+            data = r.read(shared + own)
+            tid, pos, rlen, _, counts, samples = struct.unpack_from("<iiiIII", data)
+            assert (rlen, counts, samples) == (1, 2 << 16 | 2, 2 << 24 | 1) and data[24:29] == bytes([0x07, 0x17, data[26], 0x17, data[28]])
+            gt = data[shared + 3 : shared + 5]
+            got.append((names[tid], pos, chr(data[26]), chr(data[28]), {b"\x02\x04": "0/1", b"\x04\x04": "1/1"}[gt]))
+        index.Index(bgzf.Reader((p.parent / (p.name + ".csi")).open("rb")).read(1 << 30)).query(0, 0, 100)
+    assert sorted(got) == sorted((r.contig, r.pos, r.ref_base, r.alt, r.gt) for r in calls.collect())
+
+
+def test_bcf_values():
+    from helixframe.sources import bcf
+
+    assert bcf.integers([5]) == b"\x11\x05" and bcf.integers([-121])[:1] == b"\x12" and bcf.integers([None, 3]) == b"\x21\x80\x03" and bcf.integers([40000])[:1] == b"\x13"
+    assert bcf.vectors([[1], [1, 2]]) == b"\x21\x01\x81\x01\x02" and bcf.text("a" * 20)[:3] == b"\xf7\x11\x14" and bcf.floats([None]) == b"\x15\x01\x00\x80\x7f"

@@ -15,6 +15,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Rows up to which a one-column id table is broadcast (about 16 MB as a hashed relation).
 BROADCAST_IDS = 500_000
+#: Bytes of an Arrow batch; a longer row is a batch of its own.
+BATCH_BYTES = 12 << 20
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
@@ -117,7 +119,7 @@ def shingle_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def texts_of(column) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
-    return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def pieces(texts: list[bytes], limit: int = 4 << 20):
@@ -167,6 +169,12 @@ def within(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = BROADC
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, how)
 
 
+def arrow_map(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) with batches of about BATCH_BYTES in this session from now on, so that long texts do not fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def crc_mod5(column) -> F.Column:
     """crc32 of an id as text, modulo 5."""
     return F.crc32(column.cast("string").cast("binary")) % 5

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEP_LUT, Words, hash_words, mix64, pieces, shingle_hashes, texts_of
+from .common import ALNUM_SEP_LUT, Words, arrow_map, hash_words, mix64, pieces, shingle_hashes, texts_of
 
 WINDOW, LEAST = 6, 4
 #: A document holds an item if it covers this share of its tokens, or so many of them.
@@ -54,6 +54,7 @@ class Templates:
         after = w.raw[np.minimum(w.starts + 1, len(w.raw) - 1)]
         digit = (first >= 48) & (first < 58) & (w.buf[w.ends - 1] >= 48) & (w.buf[w.ends - 1] < 58)
         upper = ((first >= 65) & (first < 91)) | ((first == 0xC3) & (after >= 0x80) & (after < 0x9F))
+        upper &= ((after >= 97) & (after < 123) | (after >= 0x80)) & (w.ends - w.starts > 1)  # all capitals are no name
         one, two = w.raw[np.maximum(w.starts - 1, 0)], w.raw[np.maximum(w.starts - 2, 0)]
         opens = (w.starts <= w.text_at[text] + 1) | _SENTENCE_END[one] | _SENTENCE_END[two]
         unit = np.isin(w.hash, _UNIT_HASHES) & np.concatenate(([False], digit[:-1] & (text[1:] == text[:-1]))) if n else np.empty(0, bool)
@@ -177,7 +178,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                         names=[id_col, item_col, "covered", "coverage", "windows", "verbatim"],
                     )
 
-        parts.append(source.mapInArrow(run, f"`{id_col}` {id_type}, `{item_col}` {item_type}, covered long, coverage double, windows long, verbatim boolean"))
+        parts.append(arrow_map(source, run, f"`{id_col}` {id_type}, `{item_col}` {item_type}, covered long, coverage double, windows long, verbatim boolean"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -197,7 +198,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                         clean[i + doc] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = arrow_map(docs, run, docs.schema)
     return docs
 
 

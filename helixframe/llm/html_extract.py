@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import arrow_map, texts_of
 
 #: Elements that hold no main text, elements whose content is not markup, void elements, and inline elements.
 DROP = frozenset("nav aside footer form button select textarea option iframe noscript template svg canvas object audio video map dialog menu head title script style".split())
@@ -204,4 +204,4 @@ def extract_pages(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...
             texts = [extract(t.decode()) for t in texts_of(batch.column(batch.num_columns - 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)

@@ -2,7 +2,7 @@
 
 Templates are licence phrases and notices as word sequences.  The words of all templates form a fixed vocabulary whose document
 frequencies are counted over the whole corpus.  Each template is indexed by its RARE words of highest inverse document frequency
-with their places in the template.  In a file, every occurrence of an indexed word proposes the start that its place
+(those that stand in the corpus at all go first) with their places in the template.  In a file, every occurrence of an indexed word proposes the start that its place
 implies; proposals of a template's words that agree on a start are intersected, and a start with enough of them is
 verified: all mandatory key phrases must stand at their places.  Its confidence is the idf-weighted share of the
 template's words that stand in place; a file's score is the largest confidence.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEP_LUT, Words, hash_words, pieces, texts_of
+from .common import ALNUM_SEP_LUT, Words, arrow_map, hash_words, pieces, texts_of
 
 
 class Template(NamedTuple):
@@ -100,7 +100,7 @@ class Index:
         self.rare = []
         for ids in self.ids:
             last = {int(i): k for k, i in enumerate(ids)}  # a word that stands twice is indexed by its last place
-            self.rare.append(sorted(((k, i) for i, k in last.items()), key=lambda p: (-self.idf[p[1]], p[0]))[:RARE])
+            self.rare.append(sorted(((k, i) for i, k in last.items()), key=lambda p: (bool(df) and not df.get(p[1]), -self.idf[p[1]], p[0]))[:RARE])
 
     def lookup(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary number of each word, -1 for others."""
@@ -153,7 +153,7 @@ def document_frequencies(docs: DataFrame, templates: tuple[Template, ...], text_
             total[-1] = n
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["word", "n"])
 
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counts = arrow_map(docs.select(F.col(text_col).cast("string").alias("text")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     found = {r["word"]: r["n"] for r in counts}
     return found, found.pop(len(index.vocabulary), 0)
 
@@ -197,4 +197,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)

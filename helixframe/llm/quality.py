@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_LUT, Words, crc_mod5, mix64, pieces, texts_of
+from .common import SPACE_LUT, Words, arrow_map, crc_mod5, mix64, pieces, texts_of
 
 BITS, RANK = 18, 4
 BINS = 12
@@ -143,7 +143,7 @@ def score_quality(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col
             s = score(spec.value, texts_of(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def keep_good(docs: DataFrame, model: dict, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -154,4 +154,4 @@ def keep_good(docs: DataFrame, model: dict, text_col: str = "text", threshold: f
         for batch in batches:
             yield batch.filter(pa.array(score(spec.value, texts_of(batch.column(at))) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_of
+from .common import arrow_map, texts_of
 
 
 class Rule(NamedTuple):
@@ -323,4 +323,4 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...]
                 made.append(pa.array([(redact(t.decode(), s) if s else t.decode()) if v else None for t, s, v in zip(texts, spans, valid, strict=True)], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)

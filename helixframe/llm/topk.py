@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import arrow_map, stored
 
 BLOCK_ROWS, QUERY_ROWS, STEP = 4096, 256, 16
 _PACKED = "block long, dim int, n int, ids binary, cells binary"
@@ -136,7 +136,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     cells = F.transform(F.col(vector_col), lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(1 << 31)), F.lit(-(1 << 31))).cast("long"))
     sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     usable = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).where(sound)
-    packed = stored(usable.select("id", cells.alias("v")).mapInArrow(_pack(BLOCK_ROWS), _PACKED), "blocks")
+    packed = stored(arrow_map(usable.select("id", cells.alias("v")), _pack(BLOCK_ROWS), _PACKED), "blocks")
 
     return _search(packed, is_query, id_col, k, groups)
 
@@ -144,7 +144,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
 def _search(packed: DataFrame, is_query, id_col: str, k: int, groups: int) -> DataFrame:
     # Queries leave the packed blocks as blocks of their own that know where each query stands; their floor is the k-th best
     # score within the block.  Which ids are queries is decided by Spark on the ids alone, then carried to the blocks as a bit for each place.
-    ids = packed.select("block", "n", "ids").mapInArrow(_unpack_ids, "block long, place int, id long")
+    ids = arrow_map(packed.select("block", "n", "ids"), _unpack_ids, "block long, place int, id long")
     marks = ids.select("block", "place", F.col("id").alias(id_col)).where(is_query).groupBy("block").agg(F.sort_array(F.collect_list("place")).alias("at"))
 
     def cut(batches):
@@ -163,9 +163,9 @@ def _search(packed: DataFrame, is_query, id_col: str, k: int, groups: int) -> Da
                         names=_QUERY_NAMES,
                     )
 
-    queries = stored(packed.join(marks, "block").select("block", "dim", "n", "ids", "cells", "at").mapInArrow(cut, _QUERIES), "queries")
+    queries = stored(arrow_map(packed.join(marks, "block").select("block", "dim", "n", "ids", "cells", "at"), cut, _QUERIES), "queries")
     dealt = queries.select(*(F.col(c).alias(f"q_{c}") for c in _QUERY_NAMES), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    pairs = packed.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).join(dealt.hint("shuffle_hash"), (F.col("g") == F.col("group")) & (F.col("dim") == F.col("q_dim")))
+    pairs = packed.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).join(dealt.hint("merge"), (F.col("g") == F.col("group")) & (F.col("dim") == F.col("q_dim")))
 
     def match(batches):
         names = ["query_block", "query_place", "query_id", "vec_id", "score"]
@@ -181,7 +181,7 @@ def _search(packed: DataFrame, is_query, id_col: str, k: int, groups: int) -> Da
                 at, score = (np.concatenate([o[c] for o in out]).astype(np.int64) for c in (1, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), r["q_block"])), pa.array(places[who]), pa.array(qid[who]), pa.array(cand[at]), pa.array(score)], names=names)
 
-    found = pairs.select("block", "dim", "n", "ids", "cells", "q_block", "q_n", "q_ids", "q_cells", "q_places", "q_floors").mapInArrow(match, "query_block long, query_place long, query_id long, vec_id long, score long")
+    found = arrow_map(pairs.select("block", "dim", "n", "ids", "cells", "q_block", "q_n", "q_ids", "q_cells", "q_places", "q_floors"), match, "query_block long, query_place long, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_block", "query_place").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

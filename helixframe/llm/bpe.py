@@ -4,11 +4,11 @@
 state with a loop for each byte and is extended merge by merge.  The gadget for the merge (u, v) splits the state r that
 arcs labelled u enter: a copy r' takes these arcs over and keeps r's own arcs except the one labelled v, and every state
 with an arc u gains an arc uv to where r's arc v leads.  All arcs with one label enter one state, so a gadget adds one
-state, and the tables are three integers for each state (parent, birth, lost label) and three for each token (left part,
-birth, state entered).
+state, so a state is known by the label that enters it and the gadgets so far.  The tables are three integers for each token
+(left part, right part, gadget that made it) and one for each gadget's lost arc.
 
-A pre-split word is encoded by table-driven transitions: from each position, the byte trie of labels gives the arcs that
-match, and exactly one path reaches each position.  Decoding emits the arc labels.
+A pre-split word is encoded by table-driven transitions: at a position, the byte trie of labels gives the arcs that match, the
+longest is tried first, and as exactly one path reaches each position no position is visited twice.  Decoding emits the arc labels.
 
 Texts are split as byte-level tokenizers do; added special tokens are cut out first and are ids of their own.  Null text is
 the empty text with no tokens; rows keep their order, repeated rows give repeated results, other columns are ignored.
@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts_of
+from .common import arrow_map, texts_of
 
 #: Fixed value: the split pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept in a worker's table, and the longest such word.
-KEPT_WORDS, KEPT_LENGTH = 150_000, 48
+KEPT_WORDS, KEPT_LENGTH = 500_000, 48
 
 
 def byte_letters() -> list[str]:
@@ -47,76 +47,95 @@ class Automaton:
 
     def __init__(self, byte_ids: list[int], merges: list[tuple[int, int, int]], labels: dict[int, bytes]):
         n = max(labels) + 1
-        self.labels = labels
-        self.left, self.born = [-1] * n, [-1] * n  # of each token: left part, and the merge that makes it
-        self.enters = [0] * n  # the state that arcs with this label enter
-        self.parent, self.birth, self.lost = [-1], [-1], [-1]  # of each state
-        self._seen: dict[tuple[int, int], bool] = {}
+        self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n  # of each token: its parts, and the gadget that makes it
+        self.gadget: dict[int, int] = {}  # by label u and lost label v: number of the gadget whose copy of the state that u enters lost the arc v
         for k, (u, v, made) in enumerate(merges):
-            r = self.enters[u]
-            if not self.has(r, v):  # no path holds u v: the merge never applies
-                continue
-            self._seen.clear() if len(self._seen) > 200_000 else None
-            self.left[made], self.born[made] = u, k
-            self.enters[made] = self.enters[v]
-            self.parent.append(r)
-            self.birth.append(k)
-            self.lost.append(v)
-            self.enters[u] = len(self.parent) - 1
-        self.trie: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
-        for t in [*byte_ids, *(m[2] for m in merges if self.born[m[2]] >= 0)]:
-            node = 0
-            for b in labels[t]:
-                step = self.trie[node].get(b)
-                if step is None:
-                    step = self.trie[node][b] = len(self.trie)
-                    self.trie.append({})
-                    self.ends.append(-1)
-                node = step
-            self.ends[node] = t
-        self._seen.clear()
-
-    def has(self, q: int, t: int) -> bool:
-        """Whether state q has an arc labelled t."""
-        left, born, parent, birth, lost = self.left, self.born, self.parent, self.birth, self.lost
+            if self.follows(u, v):  # else no path holds u v, and the merge never applies
+                self.left[made], self.right[made], self.born[made] = u, v, k
+                self.gadget[u << 20 | v] = k
+        self.root: dict[int, tuple] = {}  # byte trie of the labels: byte to (next node, token or -1)
+        self.known: dict[int, bool] = {}  # answers of follows
+        nodes: dict[bytes, dict] = {b"": self.root}
+        for t in sorted([*byte_ids, *(m[2] for m in merges if self.born[m[2]] >= 0)], key=lambda t: labels[t]):
+            text = labels[t]
+            for k in range(len(text)):
+                above = nodes[text[:k]]
+                if text[k] not in above:
+                    nodes[text[: k + 1]] = {}
+                    above[text[k]] = (nodes[text[: k + 1]], -1)
+            above[text[-1]] = (above[text[-1]][0], t)
+
+    def follows(self, u: int, t: int) -> bool:
+        """Whether the state that arcs labelled u enter has an arc labelled t.
+
+        That state is a copy of a copy: its newest gadgets split it under the label u, the older ones, from before u was made,
+        under the right part of u, and so on.  A gadget took the arc t if it took what t was then: t itself if t had been made,
+        else its left part, and so on, since an arc is only added to states that have that of the left part.
+        """
+        left, right, born, gadget = self.left, self.right, self.born, self.gadget
+        before = 1 << 30
         while True:
-            while born[t] >= birth[q] and born[t] >= 0:  # made with or after the state, which has the arc if it has that of the left part
-                t = left[t]
-            if not q:
+            x, until, key = t, 1 << 30, u << 20
+            while True:
+                k = gadget.get(key | x)
+                if k is not None and k < before and born[x] < k <= until:
+                    return False
+                until = born[x]
+                if until < 0:
+                    break
+                x = left[x]
+            before = born[u]
+            if before < 0:
                 return True
-            if t == lost[q]:
-                return False
-            q = parent[q]
-
-    def arc(self, q: int, t: int) -> bool:
-        key = (q, t)
-        found = self._seen.get(key)
-        if found is None:
-            if len(self._seen) > 400_000:
-                self._seen.clear()
-            found = self._seen[key] = self.has(q, t)
-        return found
+            u = right[u]
 
     def encode(self, word: bytes) -> list[int]:
-        """The one path whose labels spell the word."""
-        n, trie, ends = len(word), self.trie, self.ends
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            q = self.enters[last[i]] if i else 0
-            node = 0
-            for j in range(i, n):
-                node = trie[node].get(word[j])
-                if node is None:
+        """The one path whose labels spell the word.
+
+        Longer labels are tried first.  As one path at most reaches a position, a position without a way on is dead for good.
+        """
+        n, known, root = len(word), self.known, self.root
+        out: list[int] = []
+        places, open_, dead = [0], [], set()
+        at = 0
+        while True:
+            found, node, j = [], root, at  # (end, token) of the labels that stand here, the longest last
+            while j < n:
+                step = node.get(word[j])
+                if step is None:
+                    break
+                node, t = step
+                j += 1
+                if t >= 0:
+                    found.append((j, t))
+            open_.append(found)
+            while True:
+                last = out[-1] << 20 if out else -1
+                while found:
+                    end, t = found.pop()
+                    if end in dead:
+                        continue
+                    if last >= 0:
+                        ok = known.get(last | t)
+                        if ok is None:
+                            if len(known) > 400_000:
+                                known.clear()
+                            ok = known[last | t] = self.follows(out[-1], t)
+                        if not ok:
+                            continue
                     break
-                t = ends[node]
-                if t >= 0 and last[j + 1] < 0 and self.arc(q, t):
-                    last[j + 1], back[j + 1] = t, i
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i = back[i]
-        return out[::-1]
+                else:
+                    dead.add(places.pop())
+                    open_.pop()
+                    out.pop()
+                    found = open_[-1]
+                    continue
+                break
+            out.append(t)
+            if end == n:
+                return out
+            places.append(end)
+            at = end
 
 
 class Tokenizer:
@@ -217,7 +236,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     for n in names:
         head = head.add(n, T.DataType.fromDDL(kinds[n][0]))
-    return source.mapInArrow(run, head)
+    return arrow_map(source, run, head)
 
 
 def bpe_decode(rows: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

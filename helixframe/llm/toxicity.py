@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEP_LUT, Words, crc_mod5, mix64, pieces, texts_of
+from .common import ALNUM_SEP_LUT, Words, arrow_map, crc_mod5, mix64, pieces, texts_of
 
 WINDOW, STRIDE = 64, 56
 INPUTS, HIDDEN = 4, 8
@@ -144,14 +144,17 @@ class BiGru:
 
 def _evidence(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Signed root of the likelihood-ratio statistic of presence in toxic (row 1) against clean (row 0) texts, in thirds, cut at 4."""
-    seen, total = counts.sum(0), max(n.sum(), 1.0)
-    rate = np.clip(seen / total, 1e-12, 1 - 1e-12)
-    g2 = np.zeros(counts.shape[1])
+    out = np.zeros(counts.shape[1], np.float32)
+    has = np.flatnonzero(counts.any(0))  # most buckets are empty, and their evidence is 0
+    counts, total = counts[:, has].astype(np.float64), max(n.sum(), 1.0)
+    rate = np.clip(counts.sum(0) / total, 1e-12, 1 - 1e-12)
+    g2 = np.zeros(len(has))
     for c in (0, 1):
         own = counts[c] / max(n[c], 1.0)
         g2 += 2 * counts[c] * np.log(np.maximum(own, 1e-12) / rate) + 2 * (n[c] - counts[c]) * np.log(np.maximum(1 - own, 1e-12) / (1 - rate))
     sign = np.sign(counts[1] * n[0] - counts[0] * n[1])
-    return np.clip(sign * np.sqrt(np.maximum(g2, 0)) / 3, -4, 4).astype(np.float32)
+    out[has] = np.clip(sign * np.sqrt(np.maximum(g2, 0)) / 3, -4, 4)
+    return out
 
 
 def train(texts: list[bytes], toxic: np.ndarray, folds: int = 3, steps: int = 240, batch: int = 192, seed: int = 5) -> dict:
@@ -165,20 +168,20 @@ def train(texts: list[bytes], toxic: np.ndarray, folds: int = 3, steps: int = 24
         tables.append(_word_table(w) if len(w.hash) else None)
     fold = np.arange(len(texts)) % folds
     size = 1 << BITS
-    counts = np.zeros((folds, 2, 2, size), np.float32)  # fold, word or gram, label, bucket
+    counts = np.zeros((folds, 2, 2, size), np.uint16 if len(texts) < 65_000 else np.uint32)  # fold, word or gram, label, bucket
     for i, table in enumerate(tables):
         if table:
             counts[fold[i], 0, y[i], np.unique(table[1])] += 1
             counts[fold[i], 1, y[i], np.unique(table[3])] += 1
     n = np.array([[np.sum((fold == f) & (y == c)) for c in (0, 1)] for f in range(folds)], np.float64)
-    model = {"words": _evidence(counts[:, 0].sum(0), n.sum(0)), "grams": _evidence(counts[:, 1].sum(0), n.sum(0)), "net": net.w}
+    model = {"words": _evidence(counts[:, 0].sum(0, dtype=np.uint32), n.sum(0)), "grams": _evidence(counts[:, 1].sum(0, dtype=np.uint32), n.sum(0)), "net": net.w}
     if len(set(y.tolist())) < 2:
         return model
     xs, ms, ys = [], [], []
     g = np.random.default_rng(seed)
     for f in range(folds):
         others = [k for k in range(folds) if k != f]
-        ev = [_evidence(counts[others, part].sum(0), n[others].sum(0)) for part in (0, 1)]
+        ev = [_evidence(counts[others, part].sum(0, dtype=np.uint32), n[others].sum(0)) for part in (0, 1)]
         for i in np.flatnonzero(fold == f):
             if not tables[i]:
                 continue
@@ -255,4 +258,4 @@ def score_toxicity(docs: DataFrame, model: dict, id_col: str = "doc_id", text_co
             s = score(spec.value, texts_of(batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)

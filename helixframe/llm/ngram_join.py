@@ -11,10 +11,9 @@ Steps, each over all rows:
 1. One Arrow pass gives each document's set size and a digest of its set.  Rows with equal sets form a class.
    The same pass counts shingles by lossy counting; only the order of shingles depends on these counts, never the result.
 2. A second pass over class representatives orders each set and emits its prefix.
-3. Stars: each representative is verified against the member of least id that shares most of its prefix postings.  The
-   verified ones form a forest that already joins large groups of near copies without pairs inside them.
+3. Stars: each representative is verified against the hub that shares most of its prefix postings.  The verified pairs form a forest that already joins large groups of near copies without pairs inside them.
 4. Postings that still span several trees yield the remaining pairs across trees; those with enough shared postings
-   are verified.  Pairs inside one tree cannot change a component and are never made.
+   for their sizes and prefixes are verified.  Pairs inside one tree cannot change a component and are never made.
 5. Verification intersects whole sets, rebuilt from the text for the documents that take part.
 
 Nulls and edge cases: a null or blank text has the empty set (size 0) and links with nothing; fewer words than the shingle
@@ -29,14 +28,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, mix64, pieces, shingle_hashes, stored, texts_of, within
+from .common import Words, arrow_map, discard, mix64, pieces, shingle_hashes, stored, texts_of, within
 
 WORDS, THRESHOLD = 5, 0.75
 #: Shingles kept in the order table; the rest count as rare.  A bound on what is collected and broadcast (8 bytes each), not on results.
 FREQUENT = 400_000
+#: Rounds of stars before pairs are made.
+STAR_ROUNDS = 2
 #: Largest l tried, and the cost of verifying a candidate in units of reading one posting.
 MOST_MATCHES, VERIFY_COST = 8, 40.0
 
@@ -107,14 +108,14 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _prefixes(k: int, threshold: float, frequent):
-    """Arrow function: each document's size, l, and prefix shingles: those known to stand in several sets, and the others."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("need", pa.int32()), ("known", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64()))])
+    """Arrow function: each document's size, l, mean log frequency of its shingles, and prefix shingles: those known to stand in several sets, and the others."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("need", pa.int32()), ("common", pa.float32()), ("known", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64()))])
 
     def run(batches):
         known, rank_df = frequent.value
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            out = ([], [], [], [], [])
+            out = ([], [], [], [], [], [])
             for i, s in _sets(texts, k):
                 n = len(s)
                 if not n:
@@ -128,9 +129,9 @@ def _prefixes(k: int, threshold: float, frequent):
                 many = _matches(n, need, df[order])
                 front = order[: n - need + many]
                 prefix, often = s[front].view(np.int64), df[front] > 1
-                for part, value in zip(out, (ids[i], n, many, prefix[often], prefix[~often]), strict=True):
+                for part, value in zip(out, (ids[i], n, many, float(np.log(df).sum() / n), prefix[often], prefix[~often]), strict=True):
                     part.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), _lists(out[3]), _lists(out[4])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.float32()), _lists(out[4]), _lists(out[5])], schema=schema)
 
     return run
 
@@ -149,7 +150,7 @@ def _packed(k: int):
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
     """Those (a, b) of pairs, distinct ids, whose whole sets reach the threshold."""
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = within(texts, some, "id", "left_semi").mapInArrow(_packed(k), "id long, grams array<long>")
+    sets = arrow_map(within(texts, some, "id", "left_semi"), _packed(k), "id long, grams array<long>")
     left = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
     both = F.size(F.array_intersect("ga", "gb")).cast("long")
@@ -185,7 +186,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id_col, n_shingles, component_id) for each row of docs; see the module text."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = stored(texts.mapInArrow(_profile(words), "kind byte, id long, n long, k1 long, k2 long"), "sets")
+    seen = stored(arrow_map(texts, _profile(words), "kind byte, id long, n long, k1 long, k2 long"), "sets")
     rows = seen.where("kind = 0").select("id", "n", "k1", "k2")
     classes = stored(rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select(F.col("rep").alias("id"))
@@ -198,31 +199,59 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Texts of representatives only.  An id that comes with several texts stays if one of its sets has it as representative.
     copies = rows.where("n > 0 and id is not null").join(classes.where("copies > 1"), ["k1", "k2"]).where("id > rep").select("id").distinct().join(reps, "id", "left_anti")
     own = within(texts.where("id is not null"), stored(copies, "copies"), "id", "left_anti")
-    prefixes = own.mapInArrow(_prefixes(words, threshold, frequent), "id long, n long, need int, known array<long>, rare array<long>")
+    prefixes = arrow_map(own, _prefixes(words, threshold, frequent), "id long, n long, need int, common float, known array<long>, rare array<long>")
     prefixes = stored(prefixes, "prefixes")
 
     # Postings of shingles that stand in several prefixes.  Frequent shingles are known to; only the others have to meet
-    # for that, so that no group in the window is large.
-    rare = prefixes.select("id", "n", "need", F.explode("rare").alias("gram")).withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1").drop("df")
-    postings = stored(rare.unionByName(prefixes.select("id", "n", "need", F.explode("known").alias("gram"))), "postings")
-
-    # Stars.  Sizes of linked sets differ by the threshold at most, so a hub is sought among sizes of one band.
+    # for that, so that no group in the window is large.  ``at``: place in the document's order; ``before``: how many of the
+    # places before it are postings as well, the others being shingles that no other document has.
+    rare = prefixes.select("id", "n", "need", "common", F.posexplode("rare").alias("at", "gram")).withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1").drop("df")
+    met = rare.unionByName(prefixes.select("id", "n", "need", "common", F.size("rare").alias("r"), F.posexplode("known").alias("k", "gram")).select("id", "n", "need", "common", (F.col("r") + F.col("k")).alias("at"), "gram"))
+    before = (F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1).alias("before")
+    postings = stored(met.select("*", before), "postings")
+    discard(prefixes)
+
+    def able(x: str, y: str) -> Column:
+        """Whether two documents that share a posting can link: of the places before it, at most ``before`` are shared."""
+        most = F.least(f"before_{x}", f"before_{y}") + 1 + F.least(*(F.col(f"n_{e}") - F.col(f"at_{e}") - 1 for e in (x, y)))
+        return most * (1 + threshold) >= threshold * (F.col(f"n_{x}") + F.col(f"n_{y}")) - 1e-6
+
+    def required(x: str, y: str) -> Column:
+        """Shared postings that two documents need to link: those that a prefix can miss lie behind it in the one whose prefix ends first."""
+        behind = F.greatest(*(F.ceil(F.round(F.col(f"n_{e}") * threshold, 6)) - F.col(f"need_{e}") for e in (x, y)))
+        return F.greatest(F.ceil((F.col(f"n_{x}") + F.col(f"n_{y}")) * (threshold / (1 + threshold)) - 1e-6) - behind, F.least(f"need_{x}", f"need_{y}"))
+
+    # Stars, in rounds.  Among the postings of a shingle and a band of sizes (those of linked sets differ by the threshold at
+    # most), one document is the hub: in the first round the one whose shingles are most common, which in a group of near
+    # copies is the one nearest to their origin, later the one of least hash.  A document is verified against the hub of another tree with
+    # which it shares most.  Rounds only save pairs later: what they miss is found across trees.
     band = F.floor(F.log("n") / -math.log(threshold)).cast("int")
-    shares = postings.select("id", "gram", band.alias("band"))
-    hubs = shares.groupBy("gram", "band").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("top > hub").select("gram", "band", "hub")
-    stars = shares.join(hubs, ["gram", "band"]).where("id > hub").groupBy(F.col("id").alias("b"), F.col("hub").alias("a")).agg(F.count("*").alias("shared"))
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    forest = stored(_linked(stored(best.select("a", "b"), "stars"), own, words, threshold), "forest")
-    trees = components(forest, "trees")
-
-    # Across trees.
-    placed = stored(postings.join(trees, "id", "left").select("id", "gram", "n", "need", F.coalesce("root", "id").alias("tree")), "placed")
-    mixed = placed.groupBy("gram").agg(F.min("tree").alias("t0"), F.max("tree").alias("t1")).where("t1 > t0").select("gram")
+    fields = ("id", "n", "need", "at", "before", "tree")
+    forest, trees = None, None
+    for k in range(STAR_ROUNDS):
+        placed = postings.withColumn("tree", F.col("id")) if trees is None else postings.join(trees, "id", "left").withColumn("tree", F.coalesce("root", "id")).drop("root")
+        first = F.xxhash64("id_b", F.lit(k)).cast("double") if k else -F.col("common").cast("double")
+        shares = placed.select("gram", band.alias("band"), "common", *(F.col(c).alias(f"{c}_b") for c in fields))
+        hubs = shares.groupBy("gram", "band").agg(F.min(F.struct(first.alias("h"), *(F.col(f"{c}_b").alias(c) for c in fields))).alias("hub"), F.min("tree_b").alias("t0"), F.max("tree_b").alias("t1"))
+        hubs = hubs.where("t1 > t0").select("gram", "band", *(F.col(f"hub.{c}").alias(f"{c}_a") for c in fields))
+        stars = shares.join(hubs, ["gram", "band"]).where("tree_a != tree_b").where(able("a", "b")).groupBy("id_b", "id_a").agg(F.count("*").alias("shared"), F.first(required("a", "b")).alias("least"))
+        best = stars.where("2 * shared >= least").groupBy(F.col("id_b").alias("b")).agg(F.max_by("id_a", F.struct("shared", -F.col("id_a"))).alias("a"))
+        tried = stored(best.select("a", "b"), "stars")
+        linked = _linked(tried, own, words, threshold)
+        forest = stored(linked if forest is None else forest.unionByName(linked), "forest")
+        trees = components(forest, "trees")
+
+    # Across trees.  From ``able`` follows spare_x + spare_y >= 0 with spare = n / 7 - (at - before) for a threshold of 0.75, so of
+    # two documents that can link one has no negative spare: those without (a passage that many share, each with words of
+    # its own before it) never meet each other.
+    spare = F.col("n") * ((1 - threshold) / (1 + threshold)) - (F.col("at") - F.col("before")) >= -1e-6
+    placed = postings.join(trees, "id", "left").select("id", "gram", "n", "need", "at", "before", F.coalesce("root", "id").alias("tree"), spare.alias("near"))
+    mixed = placed.groupBy("gram").agg(F.min("tree").alias("t0"), F.max("tree").alias("t1"), F.max("near").alias("some")).where("t1 > t0 and some").select("gram")
     open_ = stored(placed.join(mixed, "gram", "left_semi"), "open")
-    left, right = (open_.select("gram", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "n", "need", "tree"))) for side in "ab")
-    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold
-    shared = left.join(right, "gram").where("id_a < id_b and tree_a != tree_b").where(sizes).groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("need_a", "need_b")).alias("need"))
-    more = _linked(stored(shared.where("shared >= need").select("a", "b"), "pairs"), own, words, threshold)
+    left, right = (open_.select("gram", *(F.col(c).alias(f"{c}_{side}") for c in (*fields, "near"))) for side in "ab")
+    pairs = left.where("near_a").join(right, "gram").where("(id_a < id_b or not near_b) and id_a != id_b and tree_a != tree_b").where(able("a", "b"))
+    shared = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), required("a", "b").alias("least")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("least").alias("least"))
+    more = _linked(stored(shared.where("shared >= least").select("a", "b"), "pairs"), own, words, threshold)
 
     # An id whose rows hold several sets joins their classes.
     member = rows.join(classes, ["k1", "k2"]).select("id", "rep")

@@ -32,7 +32,7 @@ from .common import arrow_map, texts_of
 #: Fixed value: the split pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept in a worker's table, and the longest such word.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 48
+KEPT_WORDS, KEPT_LENGTH = 200_000, 48
 
 
 def byte_letters() -> list[str]:
@@ -118,7 +118,7 @@ class Automaton:
                     if last >= 0:
                         ok = known.get(last | t)
                         if ok is None:
-                            if len(known) > 400_000:
+                            if len(known) > 200_000:
                                 known.clear()
                             ok = known[last | t] = self.follows(out[-1], t)
                         if not ok:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -169,10 +170,25 @@ def within(df: DataFrame, ids: DataFrame, key: str, how: str, most: int = BROADC
     return df.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, how)
 
 
+class _Released:
+    """f, with freed memory given back to the system when a task ends: workers live long, and their heaps would keep the largest task's size."""
+
+    def __init__(self, f):
+        self.f = f
+
+    def __call__(self, batches):
+        yield from self.f(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
 def arrow_map(df: DataFrame, f, schema) -> DataFrame:
     """df.mapInArrow(f, schema) with batches of about BATCH_BYTES in this session from now on, so that long texts do not fill a worker."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(_Released(f), schema)
 
 
 def crc_mod5(column) -> F.Column:

@@ -117,10 +117,13 @@ class Benchmark:
         for group in np.split(rows, cut) if len(rows) else ():
             doc, item = int(group[0, 0]), int(group[0, 1])
             n, width = int(self.n[item]), int(self.width[item])
-            if min(n, len(group) + (width - 1) * len(np.unique(group[:, 2]))) < min(COVERED, COVERAGE * n):
+            need = min(COVERED, COVERAGE * n)
+            if min(n, width * len(group)) < need:
+                continue
+            if width + np.minimum(np.diff(np.unique(group[:, 3])), width).sum() < need:  # tokens under any window: no alignment covers more
                 continue
             covered, windows, verbatim = self._align(t, doc, item, group[:, 2], group[:, 3], width)
-            if covered >= min(COVERED, COVERAGE * n):
+            if covered >= need:
                 yield doc, item, covered, covered / n, windows, verbatim
 
     def _align(self, t: Templates, doc: int, item: int, diagonal, place, width: int):

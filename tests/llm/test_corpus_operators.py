@@ -337,6 +337,14 @@ def test_inconsistent_slots_are_no_leak():
     assert g[2] == 20 and (not worse or worse[0][2] < g[2])
 
 
+def test_scattered_edits_are_found():
+    words = [f"w{chr(97 + k)}" for k in range(26)] + ["va", "vb", "vc", "vd", "ve"]
+    b = decontam.Benchmark([1], [" ".join(words).encode()])
+    edited = " ".join("edit" if k in (7, 15, 23) else w for k, w in enumerate(words))
+    (found,) = list(b.find([edited.encode()]))
+    assert found[2] == 28 and found[4] == 8 and found[5]
+
+
 # --- HTML
 
 

@@ -8,6 +8,10 @@ covers and which value each slot of the item has in the document.  Slots are con
 equal in the document and different ones differ; a window whose slots break the consistency of the alignment is not counted.
 An item whose slot values all agree is found verbatim, else re-parameterised.
 
+Windows of mostly slots say little by themselves.  Such a window is a hit if its slot values agree as well, or if it is joined
+as part of a longer span (of up to SPAN tokens of the item) that has as many words as a window of mostly words.  So items
+with too few words for that are found with their own values only.
+
 The windows of the items are a broadcast table of at most MOST_WINDOWS rows; a larger benchmark is handled slice by slice.
 
 Null and empty texts contain nothing; items of fewer than LEAST template tokens are no evidence and are never found; items
@@ -27,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import ALNUM_SEP_LUT, Words, arrow_map, hash_words, mix64, pieces, shingle_hashes, texts_of
 
 WINDOW, LEAST = 6, 4
+#: Longest span that a window of mostly slots is joined with.
+SPAN = 12
 #: A document holds an item if it covers this share of its tokens, or so many of them.
 COVERAGE, COVERED = 0.5, 24
 MOST_WINDOWS = 1_000_000
@@ -73,46 +79,65 @@ class Templates:
         self.text = text[at]
 
 
+def _exact(t: Templates) -> np.ndarray:
+    """Hash of each token with its slot value."""
+    with np.errstate(over="ignore"):
+        return mix64(t.hash + t.value * np.uint64(0x9E3779B97F4A7C15))
+
+
 class Benchmark:
-    """Window table of the items: sorted hashes with (item, place), and each item's tokens."""
+    """Window tables of the items: sorted hashes with (item, place), and each item's tokens."""
 
     def __init__(self, ids: list, texts: list[bytes]):
         self.ids = ids
         t = Templates(texts)
         self.n, self.value = t.n, [t.value[a : a + n] for a, n in zip(t.first, t.n, strict=True)]
         self.width = np.where(t.n >= WINDOW, WINDOW, t.n)
-        rows: dict[int, list] = {}
+        rows: dict[tuple[int, bool], list] = {}  # by width of the rows' spans, and whether slot values are part of the hash
+        exact = _exact(t)
         for k, (a, n) in enumerate(zip(t.first, t.n, strict=True)):
             if n < LEAST:
                 continue
             width = int(self.width[k])
-            for p, h in enumerate(shingle_hashes(t.hash[a : a + n], width)):
-                if 2 * np.count_nonzero(self.value[k][p : p + width] == 0) >= width:  # mostly words, else it says too little
-                    rows.setdefault(width, []).append((h, k, p))
+            words = np.append(0, np.cumsum(self.value[k] == 0))
+            plain = 2 * (words[width:] - words[:-width]) >= width
+            spans = {(p, width, False) for p in np.flatnonzero(plain).tolist()}
+            for p in np.flatnonzero(~plain).tolist():
+                spans.add((p, width, True))
+                spans.update(_with_words(words, p, width))
+            hashes: dict[tuple[int, bool], np.ndarray] = {}
+            for p, w, values in sorted(spans):
+                if (w, values) not in hashes:
+                    hashes[w, values] = shingle_hashes((exact if values else t.hash)[a : a + n], w)
+                rows.setdefault((w, values), []).append((hashes[w, values][p], k, p))
         self.tables = {}
-        for width, found in rows.items():
+        for key, found in rows.items():
             h = np.array([x[0] for x in found], np.uint64)
             order = np.argsort(h, kind="stable")
             sieve = np.zeros(1 << 20, bool)
             sieve[h >> np.uint64(44)] = True
-            self.tables[width] = (sieve, h[order], np.array([x[1:] for x in found], np.int64)[order])
+            self.tables[key] = (sieve, h[order], np.array([x[1:] for x in found], np.int64)[order])
 
     def find(self, texts: list[bytes]):
         """(text, item, covered tokens, coverage, windows, verbatim) for each text and item with enough evidence."""
         t = Templates(texts)
+        exact = _exact(t) if any(values for _, values in self.tables) else None
         found = []
-        for width, (sieve, hashes, places) in self.tables.items():
-            h = shingle_hashes(t.hash, width)
+        for (width, values), (sieve, hashes, places) in self.tables.items():
+            h = shingle_hashes(exact if values else t.hash, width)
             at = np.flatnonzero(sieve[h >> np.uint64(44)])
             at = at[t.text[at] == t.text[at + width - 1]] if len(at) else at
             low, high = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
             hit = high > low
             at, low, many = at[hit], low[hit], (high - low)[hit]
             row = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-            here = np.repeat(at, many)
-            found.append(np.stack([t.text[here], places[row, 0], here - t.first[t.text[here]] - places[row, 1], places[row, 1]], 1))
+            here, item, place = np.repeat(at, many), places[row, 0], places[row, 1]
+            hits = np.stack([t.text[here], item, here - t.first[t.text[here]] - place, place], 1)
+            for k in range(width - WINDOW + 1 if width > WINDOW else 1):  # each window of a longer span is a hit
+                found.append(hits + [0, 0, 0, k])
         rows = np.concatenate(found) if found else np.empty((0, 4), np.int64)
         rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+        rows = rows[np.append(True, (rows[1:] != rows[:-1]).any(1))] if len(rows) else rows  # a window may be hit by several of its rows
         cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(1)) + 1 if len(rows) else []
         for group in np.split(rows, cut) if len(rows) else ():
             doc, item = int(group[0, 0]), int(group[0, 1])
@@ -148,11 +173,20 @@ class Benchmark:
         return int(covered.sum()), windows, verbatim
 
 
+def _with_words(words: np.ndarray, p: int, width: int) -> list[tuple[int, int, bool]]:
+    """The shortest span of up to SPAN tokens that holds the window at p and as many words as a window of mostly words, if there is one; words: their running number."""
+    for w in range(width + 1, min(SPAN, len(words) - 1) + 1):
+        for a in range(max(p + width - w, 0), min(p, len(words) - 1 - w) + 1):
+            if 2 * (words[a + w] - words[a]) >= WINDOW:
+                return [(a, w, False)]
+    return []
+
+
 def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, int]:
     """(item, text) of the benchmark, and in how many slices it is handled."""
     items = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    return items, max(1, -(-size // (3 * MOST_WINDOWS)))  # a window for each word of three letters at most
+    return items, max(1, -(-2 * size // (3 * MOST_WINDOWS)))  # two rows for each word of three letters at most
 
 
 def _slice(items: DataFrame, k: int, slices: int):

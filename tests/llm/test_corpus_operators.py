@@ -345,6 +345,16 @@ def test_scattered_edits_are_found():
     assert found[2] == 28 and found[4] == 8 and found[5]
 
 
+def test_items_of_mostly_slots():
+    dense = b"we ran 5 km then 3 days with Ann 7 kg less 40 lb"
+    b = decontam.Benchmark([1, 2, 3], [b"Convert 5 km to 5000 m", dense, b"5 km Ann 7 kg"])
+    assert [(r[1], r[2], r[4], r[5]) for r in b.find([b"please: Convert 5 km to 5000 m now"])] == [(0, 6, 1, True)]
+    assert list(b.find([b"Convert 6 km to 6000 m"])) == []
+    ((_, item, covered, share, windows, verbatim),) = b.find([b"we ran 9 km then 4 days with Zoe 8 kg less 30 lb"])
+    assert (item, covered, share, windows, verbatim) == (1, int(b.n[1]), 1, int(b.n[1]) - decontam.WINDOW + 1, False)
+    assert [(r[1], r[5]) for r in b.find([b"x 5 km Ann 7 kg x", dense, b"x 6 km Ann 8 kg x"])] == [(2, True), (1, True)]
+
+
 # --- HTML
 
 

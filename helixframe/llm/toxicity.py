@@ -1,7 +1,8 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
 Each word step has four inputs: the word's evidence, the strongest and the mean evidence of its character 5- and 6-grams
-(word edges included), and its length.  Evidence is the signed root of the
+(word edges included), and its length.  A word of more than LONG bytes, such as a sentence of a script without spaces, is
+several steps, and no gram of it is left out.  Evidence is the signed root of the
 likelihood-ratio statistic of a hashed word or character gram between toxic and clean training texts.  A gated recurrent layer reads each window in both directions, attention pools its states, and a logistic unit
 scores it.  Windows of WINDOW words start every STRIDE words and cover the whole text; the text's score is its largest window
 score.  Everything is trained in numpy on the driver by back-propagation through time, on a bounded sample of labelled
@@ -19,51 +20,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_SEP_LUT, Words, arrow_map, crc_mod5, mix64, pieces, texts_of
+from .common import ALNUM_SEP_LUT, Words, _hash_spans, arrow_map, crc_mod5, mix64, pieces, texts_of
 
 WINDOW, STRIDE = 64, 56
 INPUTS, HIDDEN = 4, 8
 BITS = 21
+#: Bytes of a step: a longer word, or a run of a script without spaces, is several steps.
+LONG = 40
+#: Bytes whose grams are expanded at once.
+BLOCK = 1 << 20
 GRAMS = (5, 6)
 BATCH = 2048
 
 
-def _word_table(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the distinct words: for each word its row; word buckets; byte lengths; gram buckets, and the word row of each gram."""
-    _, first, rows = np.unique(w.hash, return_index=True, return_inverse=True)
-    starts, sizes = w.starts[first], (w.ends - w.starts)[first]
-    used = np.minimum(sizes, 40)  # grams of one word; a longer word adds those of its first 40 bytes
-    total = int((used + 2).sum())
-    head = np.cumsum(used + 2) - (used + 2)
-    edge = np.full(total, 1, np.uint64)  # a byte that no word has marks the edges
-    k = np.arange(int(used.sum())) - np.repeat(np.cumsum(used) - used, used)
-    edge[np.repeat(head + 1, used) + k] = w.buf[np.repeat(starts, used) + k]
-    owner = np.repeat(np.arange(len(first)), used + 2)
-    grams, owners = [], []
-    with np.errstate(over="ignore"):
-        for n in GRAMS:
-            if total >= n:
-                acc = np.zeros(total - n + 1, np.uint64)
-                for j in range(n):
-                    acc = acc * np.uint64(257) + edge[j : total - n + 1 + j]
-                inside = owner[: total - n + 1] == owner[n - 1 :]
-                grams.append(mix64(acc[inside] + np.uint64(n << 56)) >> np.uint64(64 - BITS))
-                owners.append(owner[: total - n + 1][inside])
-    return rows, w.hash[first] >> np.uint64(64 - BITS), sizes, np.concatenate(grams or [np.empty(0, np.uint64)]), np.concatenate(owners or [np.empty(0, np.int64)])
-
-
-def _inputs(table, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Inputs of each distinct word."""
-    _, buckets, sizes, gram, owner = table
-    x = np.zeros((len(buckets), INPUTS), np.float32)
-    x[:, 0] = words[buckets]
-    if len(gram):
+class Steps(Words):
+    """Words, those of more than LONG bytes cut into steps of about LONG bytes at borders of characters, and the distinct steps.
+
+    A step's grams start in it and run on to ``reach``, over its end into the next step of the word; only the first and the last
+    step have an edge (``opens``, ``closes``).  ``distinct`` holds a step of each kind, ``rows`` the kind of each step.
+    """
+
+    __slots__ = ("closes", "distinct", "opens", "reach", "rows")
+
+    def __init__(self, texts: list[bytes]):
+        super().__init__(texts, ALNUM_SEP_LUT)
+        sizes, key = self.ends - self.starts, self.hash
+        self.reach, self.opens, self.closes = self.ends, np.ones(len(sizes), bool), np.ones(len(sizes), bool)
+        if sizes.max(initial=0) > LONG:
+            parts = -(-sizes // LONG)
+            last = np.cumsum(parts) - 1
+            k = np.arange(int(parts.sum())) - np.repeat(last + 1 - parts, parts)
+            whole, word_end = np.repeat(parts == 1, parts), np.repeat(self.ends, parts)
+            starts = np.repeat(self.starts, parts) + LONG * k
+            for _ in range(3):  # back to the first byte of a character
+                starts -= (k > 0) & (self.buf[starts] & 0xC0 == 0x80)
+            ends = np.append(starts[1:], 0)
+            ends[last] = self.ends
+            self.opens, self.closes = k == 0, np.zeros(len(k), bool)
+            self.closes[last] = True
+            self.reach = np.minimum(ends + max(GRAMS) - 1, word_end)
+            hashes = np.repeat(self.hash, parts)
+            key = hashes.copy()
+            hashes[~whole] = _hash_spans(self.buf, starts[~whole], ends[~whole])
+            with np.errstate(over="ignore"):
+                kind = self.opens + 2 * self.closes + 4 * (ends - starts)
+                key[~whole] = mix64(_hash_spans(self.buf, starts[~whole], self.reach[~whole]) + kind[~whole].astype(np.uint64))
+            self.starts, self.ends, self.hash = starts, ends, hashes
+            bounds = np.searchsorted(starts, self.text_at)
+            self.first, self.n = bounds[:-1], np.diff(bounds)
+        _, self.distinct, self.rows = np.unique(key, return_index=True, return_inverse=True)
+
+    def buckets(self) -> np.ndarray:
+        """Word bucket of each distinct step."""
+        return self.hash[self.distinct] >> np.uint64(64 - BITS)
+
+    def grams(self):
+        """(gram buckets, distinct step of each gram) of blocks of the distinct steps, of about BLOCK bytes each."""
+        upto = np.cumsum(self.reach[self.distinct] - self.starts[self.distinct])
+        low = 0
+        while low < len(upto):
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + BLOCK, "right")))
+            first = self.distinct[low:high]
+            starts, opens = self.starts[first], self.opens[first].astype(np.int64)
+            used = self.reach[first] - starts
+            full = used + opens + self.closes[first]
+            total = int(full.sum())
+            head = np.cumsum(full) - full
+            edge = np.full(total, 1, np.uint64)  # a byte that no word has marks the edges
+            k = np.arange(int(used.sum())) - np.repeat(np.cumsum(used) - used, used)
+            edge[np.repeat(head + opens, used) + k] = self.buf[np.repeat(starts, used) + k]
+            owner = np.repeat(np.arange(low, high), full)
+            grams, owners = [], []
+            with np.errstate(over="ignore"):
+                for n in GRAMS:
+                    if total >= n:
+                        acc = np.zeros(total - n + 1, np.uint64)
+                        for j in range(n):
+                            acc = acc * np.uint64(257) + edge[j : total - n + 1 + j]
+                        inside = owner[: total - n + 1] == owner[n - 1 :]
+                        grams.append(mix64(acc[inside] + np.uint64(n << 56)) >> np.uint64(64 - BITS))
+                        owners.append(owner[: total - n + 1][inside])
+            if grams:
+                yield np.concatenate(grams), np.concatenate(owners)
+            low = high
+
+
+def _inputs(s: Steps, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Inputs of each distinct step."""
+    x = np.zeros((len(s.distinct), INPUTS), np.float32)
+    x[:, 0] = words[s.buckets()]
+    for gram, owner in s.grams():
         order = np.argsort(owner, kind="stable")
         value, at = grams[gram[order]], np.flatnonzero(np.diff(owner[order], prepend=-1))
         has = owner[order][at]
-        x[has, 1] = np.maximum.reduceat(value, at)
-        x[has, 2] = np.add.reduceat(value, at) / np.diff(np.append(at, len(value)))
-    x[:, 3] = np.log1p(sizes) / 3
+        x[has, 1] = np.maximum.reduceat(value, at) if len(at) else 0
+        x[has, 2] = np.add.reduceat(value, at) / np.diff(np.append(at, len(value))) if len(at) else 0
+    x[:, 3] = np.log1p((s.ends - s.starts)[s.distinct]) / 3
     return x
 
 
@@ -161,18 +213,14 @@ def train(texts: list[bytes], toxic: np.ndarray, folds: int = 3, steps: int = 24
     """The model of labelled texts: evidence tables and network weights."""
     net = BiGru()
     y = np.asarray(toxic, np.int64)
-    words, tables = [], []
-    for t in texts:
-        w = Words([t], ALNUM_SEP_LUT)
-        words.append(w)
-        tables.append(_word_table(w) if len(w.hash) else None)
+    tables = [Steps([t]) for t in texts]
     fold = np.arange(len(texts)) % folds
     size = 1 << BITS
     counts = np.zeros((folds, 2, 2, size), np.uint16 if len(texts) < 65_000 else np.uint32)  # fold, word or gram, label, bucket
     for i, table in enumerate(tables):
-        if table:
-            counts[fold[i], 0, y[i], np.unique(table[1])] += 1
-            counts[fold[i], 1, y[i], np.unique(table[3])] += 1
+        if len(table.hash):
+            counts[fold[i], 0, y[i], np.unique(table.buckets())] += 1
+            counts[fold[i], 1, y[i], np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(gram) for gram, _ in table.grams())]))] += 1
     n = np.array([[np.sum((fold == f) & (y == c)) for c in (0, 1)] for f in range(folds)], np.float64)
     model = {"words": _evidence(counts[:, 0].sum(0, dtype=np.uint32), n.sum(0)), "grams": _evidence(counts[:, 1].sum(0, dtype=np.uint32), n.sum(0)), "net": net.w}
     if len(set(y.tolist())) < 2:
@@ -183,9 +231,9 @@ def train(texts: list[bytes], toxic: np.ndarray, folds: int = 3, steps: int = 24
         others = [k for k in range(folds) if k != f]
         ev = [_evidence(counts[others, part].sum(0, dtype=np.uint32), n[others].sum(0)) for part in (0, 1)]
         for i in np.flatnonzero(fold == f):
-            if not tables[i]:
+            if not len(tables[i].hash):
                 continue
-            x = _inputs(tables[i], *ev)[tables[i][0]]
+            x = _inputs(tables[i], *ev)[tables[i].rows]
             at = windows_of(len(x))
             best = [float(np.sort(x[a : a + WINDOW, :2].max(1))[-3:].sum()) for a in at]
             picks = {int(at[int(np.argmax(best))])}
@@ -217,7 +265,7 @@ def score(model: dict, texts: list[bytes]) -> np.ndarray:
     net.w = model["net"]
     out = np.zeros(len(texts))
     for i, j in pieces(texts):
-        w = Words(texts[i:j], ALNUM_SEP_LUT)
+        w = Steps(texts[i:j])
         starts, ends, owner = [], [], []
         for t in range(j - i):
             at = w.first[t] + windows_of(int(w.n[t]))
@@ -225,8 +273,7 @@ def score(model: dict, texts: list[bytes]) -> np.ndarray:
             ends.append(np.minimum(at + WINDOW, w.first[t] + w.n[t]))
             owner.append(np.full(len(at), i + t))
         start, end, owner = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
-        table = _word_table(w) if len(w.hash) else None
-        x = np.concatenate([_inputs(table, model["words"], model["grams"])[table[0]], np.zeros((1, INPUTS), np.float32)]) if table else np.zeros((1, INPUTS), np.float32)
+        x = np.concatenate([_inputs(w, model["words"], model["grams"])[w.rows], np.zeros((1, INPUTS), np.float32)])
         order = np.argsort(end - start, kind="stable")
         for k in range(0, len(order), BATCH):
             pick = order[k : k + BATCH]

@@ -255,6 +255,36 @@ def test_toxicity_learns_words_and_stems():
     assert (toxicity.score(model, [b"", b" \n", b"word1"]) < 0.5).all()
 
 
+def test_toxicity_reads_long_words_whole():
+    rng = random.Random(7)
+    rows, y = [], np.array([rng.random() < 0.4 for _ in range(400)])
+    for k, bad in enumerate(y):
+        t = [chr(0x4E00 + rng.randrange(300)) for _ in range(rng.randint(60, 200))]
+        if bad:
+            t[rng.randint(40, len(t) - 8)] = "愚蠢混蛋"
+        rows.append("".join(t) if k % 2 else f"{'ab' * 20}{rng.choice(['qp', 'mn'])}{'idiot' if bad else 'plain'}")
+    model = toxicity.train([t.encode() for t in rows[:300]], y[:300].astype(int))
+    s = toxicity.score(model, [t.encode() for t in rows[300:]])
+    right = (s >= 0.5) == y[300:]
+    assert right[::2].mean() > 0.95 and right[1::2].mean() > 0.9
+
+
+def test_toxicity_steps_keep_every_gram():
+    text = ("x" + "漢字é" * 40 + "end short " + "q" * 100).encode()
+    s = toxicity.Steps([text])
+    assert b"".join(text[a:b] for a, b in zip(s.starts, s.ends, strict=True)) == text.replace(b" ", b"") and (s.ends - s.starts).max() <= toxicity.LONG + 3
+    assert all(text[a:b].decode() for a, b in zip(s.starts, s.ends, strict=True))
+    grams = set(np.concatenate([g for g, _ in s.grams()]).tolist())
+    for word in text.split():
+        edged = [1, *word, 1]
+        for n in toxicity.GRAMS:
+            for k in range(len(edged) - n + 1):
+                acc = 0
+                for b in edged[k : k + n]:
+                    acc = (acc * 257 + b) % (1 << 64)
+                assert int(toxicity.mix64(np.array([(acc + (n << 56)) % (1 << 64)], np.uint64))[0] >> np.uint64(64 - toxicity.BITS)) in grams
+
+
 def test_toxicity_gradients():
     net, g = toxicity.BiGru(3), np.random.default_rng(0)
     net.w = {k: v.astype(np.float64) for k, v in net.w.items()}

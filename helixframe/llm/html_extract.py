@@ -186,11 +186,9 @@ def extract(page: str) -> str:
     # The container: an article or main element on the strongest path, else what the strong paths share.
     best = paths[max(range(len(paths)), key=lambda k: chars[k] * (1 - links[k] / max(chars[k], 1)))]
     cut = next((k + 1 for k in range(len(best) - 1, -1, -1) if best[k] in ("article", "main")), 0)
-    if not cut:
-        cut = min((next((i for i, (a, b) in enumerate(zip(p, best, strict=False)) if a != b), min(len(p), len(best))) for p in strong), default=0)
-        inside = set(strong)
-    else:
-        inside = {p for p in paths if p[:cut] == best[:cut]}
+    if not cut:  # above each strong path, so that it holds what stands beside the only one too
+        cut = max(min(next((i for i, (a, b) in enumerate(zip(p[:-1], best[:-1], strict=False)) if a != b), min(len(p), len(best)) - 1) for p in [*strong, best]), 0)
+    inside = {p for p in paths if p[:cut] == best[:cut]}
     return "\n".join(text for path, text, _ in parts if path in inside)
 
 

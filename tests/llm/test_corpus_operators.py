@@ -399,6 +399,14 @@ def test_html():
     assert html_extract.extract('<div class="menu"><a>x</a></div><div><p>Only text, here. It is long.</p><p>Short</p></div>') == "Only text, here. It is long.\nShort"
 
 
+def test_html_without_article():
+    prose = "A sentence, with some words in it; and more of them. " * 7
+    parts = ["A title of few words", "Part one", prose.strip(), "first", "second", "Name", "Size", "box", "12"]
+    page = '<html><body><div class="menu"><a>x</a></div><div><h1>{}</h1><h2>{}</h2><p>{}</p><ul><li>{}</li><li>{}</li></ul><table><tr><th>{}</th><th>{}</th></tr><tr><td>{}</td><td>{}</td></tr></table></div><div class="footer">f</div></body></html>'
+    assert html_extract.extract(page.format(*parts)) == "\n".join(parts)
+    assert html_extract.extract(f"<h1>Title</h1><p>{prose}</p>") == "Title\n" + prose.strip()
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" * 3000 + "deep"), (3, "u", "<p>x"), (None, "u", "<" * 500), (4, "u", "<div>" + "word " * 100_000)]
     out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS n_chars")).collect()

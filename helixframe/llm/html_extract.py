@@ -12,7 +12,8 @@ enter a path.  Character references are decoded, white space inside a block beco
 by one line feed in page order.
 
 Null and empty pages give the empty text; a page without markup is one block.  Unclosed and misnested tags never fail: an end tag
-without its start is ignored, and one with it closes what was opened since.
+without its start is ignored, and one with it closes what was opened since.  An inline element that is boilerplate ends at its end
+tag or at the border of the block around it; if it has no end tag, at the next block's start.
 """
 
 from __future__ import annotations
@@ -63,18 +64,40 @@ def _noisy(tag: str, attrs: str) -> bool:
     return False
 
 
+def _ended(page: str) -> set[int]:
+    """Where the contents of inline elements begin that have an end tag of their own."""
+    found, open_tags = set(), {}
+    for m in _TAG.finditer(page):
+        tag = (m[3] or "").lower()
+        if tag in INLINE:
+            if not m[2]:
+                open_tags.setdefault(tag, []).append(m.end())
+            elif open_tags.get(tag):
+                found.add(open_tags[tag].pop())
+    return found
+
+
 def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
     """(path, boilerplate, raw text, characters inside links) of each block that has text, in page order."""
-    found, stack = [], []  # stack: (tag, boilerplate here or above, block level)
+    found, stack = [], []  # stack: (tag, boilerplate here or above, block level; None: an inline element that hides what it holds, blocks too)
     text: list[str] = []
     link, linked, at, n = 0, 0, 0, len(page)
+    ended: set[int] | None = None
+
+    def boilerplate() -> bool:
+        """Whether the innermost block is boilerplate."""
+        return next((noisy for _, noisy, block in reversed(stack) if block), False)
+
+    def hidden() -> bool:
+        """Whether an inline element of this block hides the text here."""
+        return bool(stack) and stack[-1][1] and not boilerplate()
 
     def close():
         nonlocal linked
         if text:
             raw = "".join(text)
             if raw and not raw.isspace():
-                found.append((tuple(t for t, _, block in stack if block), bool(stack) and stack[-1][1], raw, linked))
+                found.append((tuple(t for t, _, block in stack if block), boilerplate(), raw, linked))
             text.clear()
         linked = 0
 
@@ -86,9 +109,10 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
     while at < n:
         m = _TAG.search(page, at)
         if m is None:
-            text.append(page[at:])
+            if not hidden():
+                text.append(page[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not hidden():
             piece = page[at : m.start()]
             text.append(piece)
             if link:
@@ -104,7 +128,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
                 k -= 1
             if k >= 0:
                 if tag in INLINE:
-                    if any(block for _, _, block in stack[k:]):
+                    if stack[k][2] is None and any(block for _, _, block in stack[k:]):
+                        close()
+                    elif any(block for _, _, block in stack[k:]):
                         continue  # it would close a block: misnested, ignored
                     pop(k)
                 else:
@@ -115,18 +141,16 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
             continue
         if tag in INLINE:
             if tag not in VOID:
-                noisy = _noisy(tag, m[4])
-                if noisy and not (stack and stack[-1][1]):
-                    pre = text.copy()
-                    text.clear()
-                    # An inline element that is boilerplate is a block of its own that is dropped; the text around it goes on.
-                    end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                    at = end.end() if end else n
-                    text.extend(pre)
-                    continue
-                stack.append((tag, bool(stack) and stack[-1][1], False))
+                above = bool(stack) and stack[-1][1]
+                hides = not above and _noisy(tag, m[4])
+                if hides and ended is None:
+                    ended = _ended(page)
+                # Text in an inline element that is boilerplate is dropped; the text around it goes on.
+                stack.append((tag, above or hides, None if hides and at in ended else False))
                 link += tag == "a"
             continue
+        if tag == "br" and hidden():
+            continue
         close()
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -147,7 +171,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], bool, str, int]]:
                 break
         if tag in VOID or m[4].endswith("/"):
             continue
-        while stack and not stack[-1][2]:  # an inline element does not reach over a block's start
+        while stack and stack[-1][2] is False:  # an inline element does not reach over a block's start
             pop(len(stack) - 1)
         inside = any(t in ("article", "main") for t, _, _ in stack)
         noisy = _noisy(tag, m[4]) or (tag == "header" and not inside)

@@ -407,6 +407,15 @@ def test_html_without_article():
     assert html_extract.extract(f"<h1>Title</h1><p>{prose}</p>") == "Title\n" + prose.strip()
 
 
+def test_inline_boilerplate_ends():
+    x = html_extract.extract
+    assert x('<article><p>A <span class="ad">x<p>B</p><p>C <span>c</span></p></article>') == "A\nB\nC c"
+    assert x('<article>A <span class="ad">x<p>B</p><p>C <span>c</span></p></article>') == "A\nB\nC c"
+    assert x('<article><p>A <span class="ad">x <span>y</span> z<br>w</span> B</p></article>') == "A B"
+    assert x('<article><p>A</p><a class="promo"><div>x <b>y</b></div><p>z</a><p>B</p></article>') == "A\nB"
+    assert x('<article><p>A <i hidden>x</p><p>B</p></article>') == "A\nB"
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (3, "u", "<p>" * 3000 + "deep"), (3, "u", "<p>x"), (None, "u", "<" * 500), (4, "u", "<div>" + "word " * 100_000)]
     out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' AS text", "1 AS n_chars")).collect()

@@ -145,6 +145,11 @@ def fn_float_text(spark, sf):
     return df.select("read_id", V.float_text(F.col("p") % 1000 / 8000.0).alias("small_text"), V.float_text(F.col("p").cast("double")).alias("whole_text"))
 
 
+@query("""SELECT read_id, CASE WHEN p % 1000 = 0 THEN '0' ELSE rtrim(rtrim(printf('%.6f', (p % 1000) / 8000.0 ), '0'), '.') END AS small_text, cast(p as varchar) AS whole_text FROM reads""")
+def fn_float_text_all(spark, sf):
+    return reads(spark, sf).select("read_id", V.float_text(F.col("p") % 1000 / 8000.0).alias("small_text"), V.float_text(F.col("p").cast("double")).alias("whole_text"))
+
+
 @query("SELECT tid, count(*) AS n, round(coalesce(sqrt(avg(mapq * mapq)), 0), 6) AS rms FROM reads GROUP BY tid")
 def agg_rms(spark, sf):
     return reads(spark, sf).groupBy("tid").agg(F.count("*").alias("n"), F.round(R.root_mean_square(F.col("mapq")), 6).alias("rms"))
@@ -327,6 +332,14 @@ def win_gaps_dense(spark, sf):
     return grid.join(depth, ["contig", "pos"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
 
 
+@query("""SELECT g.contig, cast(g.p as int) AS pos, count(pile.read_id) AS depth FROM (SELECT 'chr' || t AS contig, p FROM range(4) a(t), range(0, 4100) b(p)) g
+  LEFT JOIN pile ON pile.contig = g.contig AND pile.pos = g.p GROUP BY g.contig, g.p""")
+def win_gaps_dense_all(spark, sf):
+    grid = contigs(spark).select(F.col("name").alias("contig"), F.explode(F.sequence(F.lit(0), F.col("length").cast("int") - 1)).alias("pos"))
+    depth = events.pileup(reads(spark, sf), keep=("read_id",), payload=False).groupBy("contig", "pos").agg(F.count("*").alias("depth"))
+    return grid.join(depth, ["contig", "pos"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+
+
 @query("""SELECT contig, pos, cast(sum(n) as bigint) AS depth, string_agg(g || ':' || n, ',' ORDER BY n DESC, seen) AS tallies, round(sum(s) / sum(n), 9) AS mean_aligned
   FROM (SELECT contig, pos, coalesce(p.rg, '.') AS g, count(*) AS n, min(read_id) AS seen, sum(share) AS s FROM pile p JOIN (SELECT read_id, (m1 + m2) / qlen AS share FROM reads) USING (read_id) GROUP BY contig, pos, g) GROUP BY contig, pos""")
 def qry_extras(spark, sf):
@@ -466,6 +479,14 @@ def srt_pos(spark, sf):
     return top.withColumn("k", F.row_number().over(Window.orderBy("tid", "pos", "read_id")).cast("long"))
 
 
+@query("SELECT tid, pos, read_id, row_number() OVER (ORDER BY tid, pos, read_id) AS k FROM reads")
+def srt_pos_all(spark, sf):
+    from pyspark.sql import Window
+
+    df = rewrites.coordinate_sorted(reads(spark, sf).select("tid", "pos", "read_id"))
+    return df.withColumn("k", F.row_number().over(Window.orderBy("tid", "pos", "read_id")).cast("long"))
+
+
 @query("""SELECT tid, read_id, pos, f, q FROM (SELECT *, lag(struct_pack(a := pos, b := f, c := q)) OVER (PARTITION BY tid ORDER BY pos, read_id) AS was FROM (SELECT tid, read_id, cast(pos - pos % 40 as int) AS pos, cast(flags & 16 as int) AS f, 'q' || (read_id % 3) AS q FROM reads)) WHERE was IS NULL OR was <> struct_pack(a := pos, b := f, c := q)""")
 def ddp_adjacent(spark, sf):
     df = reads(spark, sf).selectExpr("tid", "read_id", "cast(pos - pos % 40 as int) AS pos", "cast(flags & 16 as int) AS flags", "concat('q', cast(read_id % 3 as string)) AS qname")

@@ -3,7 +3,7 @@
 The regexes of all rules become one non-deterministic automaton read from right to left, which subset construction and
 minimisation turn into transition arrays over byte classes.  One pass over a text's bytes, last byte first, then tells at
 which positions a match of which rule starts.  From these starts, each rule's own small automaton finds the longest end;
-matches of a kind are taken leftmost and without overlap, and those under the kind's least length are dropped.
+matches of a kind are taken leftmost and without overlap, and those under the kind's least length are dropped.  A private key's span goes on to its END line, or over its lines if it has none.
 
 Null and empty texts have no spans.  Spans count code points, end exclusive, ordered by start and then by kind as listed.
 Texts of any length are scanned whole; repeated rows give repeated results; other columns are ignored or kept.
@@ -11,6 +11,7 @@ Texts of any length are scanned whole; repeated rows give repeated results; othe
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -23,14 +24,23 @@ from .common import arrow_map, texts_of
 
 
 class Rule(NamedTuple):
-    """head + body is the regex; the match counts if the whole has ``least`` bytes and what follows the head ``least_body``."""
+    """head + body is the regex; the match counts if the whole has ``least`` bytes and what follows the head ``least_body``.
+
+    A match that counts runs on over ``tail``, a regular expression of the library (it may look ahead) that also matches nothing.
+    """
 
     kind: str
     head: str
     body: str
     least: int = 1
     least_body: int = 1
+    tail: str = ""
+
 
+_LINE_END = r"(?:[ \t]*(?:\r?\n|\r|\\r\\n|\\n))++[ \t]*+"
+_FIELD = r"[A-Za-z][A-Za-z0-9-]*+:[ \t][^\r\n\\]*+"
+#: A key's body up to its END line; without one, its base64 lines and header fields.
+_KEY = rf"(?:\s|\\[rn]|{_FIELD}|[A-Za-z0-9+/=]++)*+-----END [A-Z ]*PRIVATE KEY-----|(?:{_LINE_END}(?:{_FIELD}|[A-Za-z0-9+/=]++)(?=[ \t]*(?:[\r\n\"']|\\[rn]|\Z)))*+"
 
 #: The rules.  Letters of a head in (?i:...) match in either case.
 BASE_RULES = (
@@ -44,7 +54,7 @@ MORE_RULES = (
     Rule("google", r"AIza", r"[0-9A-Za-z_-]+", least_body=35),
     Rule("payment", r"[sr]k_live_", r"[0-9A-Za-z]+", least_body=16),
     Rule("jwt", r"eyJ", r"[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", least_body=20),
-    Rule("pem", r"-----BEGIN\x20", r"[A-Z\x20]*PRIVATE\x20KEY-----"),
+    Rule("pem", r"-----BEGIN\x20", r"[A-Z\x20]*PRIVATE\x20KEY-----", tail=_KEY),
 )
 RULES = BASE_RULES + MORE_RULES
 BASE_KINDS = tuple(r.kind for r in BASE_RULES)
@@ -242,6 +252,7 @@ class Scanner:
         self.starts = Dfa(whole, backwards=True, anywhere=True)
         self.match = [Dfa([node], backwards=False, anywhere=False) for node in whole]
         self.head = [Dfa([_Parser(r.head).alternatives()], backwards=False, anywhere=False) if r.head else None for r in rules]
+        self.tail = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
 
     def byte_spans(self, text: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, in order."""
@@ -259,10 +270,12 @@ class Scanner:
             while bits:
                 if bits & 1 and at >= busy[k]:
                     end, rule = self.match[k].longest(text, at), self.rules[k]
-                    busy[k] = end
                     body = self.head[k].longest(text, at) if self.head[k] else at
                     if end - at >= rule.least and end - body >= rule.least_body:
+                        if self.tail[k]:
+                            end = self.tail[k].match(text, end).end()
                         out.append((at, k, end))
+                    busy[k] = end
                 bits >>= 1
                 k += 1
         return out

@@ -157,6 +157,18 @@ def test_more_secret_kinds_and_redaction():
     assert secrets.redact(t, spans) == "[pem] [github] [slack]"
 
 
+def test_private_keys_are_redacted_whole():
+    scan = secrets.scanner(secrets.RULES)
+    clean = lambda t: secrets.redact(t, scan.spans(t.encode()))
+    begin, end, lines = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", ["MIIE" + "aB3+/xYz" * 7, "Qw9Z" * 16, "Ab=="]
+    for eol in ("\n", "\r\n", "\\n", "\n  "):
+        body = eol.join(lines)
+        assert clean(f"é a {begin}{eol}{body}{eol}{end} b") == "é a [pem] b"
+        assert clean(f"a {begin}{eol}Proc-Type: 4,ENCRYPTED{eol}DEK-Info: AES-128-CBC,00AA{eol}{eol}{body}{eol}{end}{eol}b") == f"a [pem]{eol}b"
+        assert clean(f"a {begin}{eol}{body}") == "a [pem]" and clean(f"a {begin}{eol}{body}{eol}that was the key.") == f"a [pem]{eol}that was the key."
+    assert clean(f"a {begin} {' '.join(lines)} {end} {begin} b") == "a [pem] [pem] b"
+
+
 def test_secret_edges(spark):
     out = secrets.scan_secrets(docs(spark, EDGE).drop("spans"), keep=("doc_id", "n"), redacted=True).collect()
     assert len(out) == len(EDGE) and all(r.spans == [] for r in out) and [r.text for r in out if r.doc_id == 1] == [None]

@@ -4,7 +4,7 @@ Each word step has four inputs: the word's evidence, the strongest and the mean
 (word edges included), and its length.  A word of more than LONG bytes, such as a sentence of a script without spaces, is
 several steps, and no gram of it is left out.  Evidence is the signed root of the
 likelihood-ratio statistic of a hashed word or character gram between toxic and clean training texts.  A gated recurrent layer reads each window in both directions, attention pools its states, and a logistic unit
-scores it.  Windows of WINDOW words start every STRIDE words and cover the whole text; the text's score is its largest window
+scores it.  Windows of WINDOW words start every STRIDE words, so that each passage of up to WINDOW - STRIDE words stands whole in one; the text's score is its largest window
 score.  Everything is trained in numpy on the driver by back-propagation through time, on a bounded sample of labelled
 rows (``per_class`` of each label, those of least id hash); evidence for a training text comes from the other folds, so that
 the network does not learn to trust words seen once.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_SEP_LUT, Words, _hash_spans, arrow_map, crc_mod5, mix64, pieces, texts_of
 
-WINDOW, STRIDE = 64, 56
+WINDOW, STRIDE = 64, 32
 INPUTS, HIDDEN = 4, 8
 BITS = 21
 #: Bytes of a step: a longer word, or a run of a script without spaces, is several steps.

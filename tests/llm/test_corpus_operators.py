@@ -321,6 +321,12 @@ def test_windows_cover_all():
         assert set(range(n)) <= {k for a in at for k in range(a, a + toxicity.WINDOW)} and all(b - a <= toxicity.STRIDE for a, b in zip(at, at[1:], strict=False))
 
 
+def test_passages_stand_whole_in_a_window():
+    for n in (64, 65, 96, 97, 130, 1000):
+        at = toxicity.windows_of(n)
+        assert all(any(a <= p and p + 32 <= a + toxicity.WINDOW for a in at) for p in range(n - 31))
+
+
 def test_quality_pairwise_term_is_the_sum_over_pairs():
     model = quality.train([b"a b c", b"!! !! ##"] * 20, np.array([1, 0] * 20), epochs=2)
     rows, cols, x = quality.features([b"one two two THREE 4", b""])

@@ -136,11 +136,13 @@ def pieces(texts: list[bytes], limit: int = 4 << 20):
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster names in spark.checkpoint.dir; without that setting (tests), in an own one."""
+    """A fresh path in the folder that the cluster names in spark.checkpoint.dir; in a session of one machine without that setting (tests), in an own one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="helixframe-"))
             held = spark.sparkContext.getCheckpointDir()
         root = held

@@ -1,19 +1,22 @@
 """N-gram Jaccard join with adaptive multi-match prefixes.
 
 A document is the set of its distinct word shingles.  Two documents link when their Jaccard similarity is at least the
-threshold.  All documents order shingles alike, rare ones first.  With t = ceil(threshold * size), the prefix of the first
-``size - t + l`` shingles of two linked documents shares at least l shingles, so a document with l > 1 trades a longer
-prefix for a stricter candidate test.  Each document chooses its own l by estimated cost; for a pair the smaller l counts,
-as both of their prefixes contain those for that l.
+threshold.  All documents order shingles alike, rare ones first.  Two that link share alpha = threshold / (1 + threshold) of
+their summed sizes, so the first l shingles that they share stand among the first ``size - alpha + l`` of both: a larger l
+means longer prefixes and a stricter candidate test.  Each document chooses its own l by estimated cost and emits the
+prefix that its smallest possible partner asks for; a pair counts the smaller l, and shared places up to that for its own sizes.
 
 Steps, each over all rows:
 
 1. One Arrow pass gives each document's set size and a digest of its set.  Rows with equal sets form a class.
    The same pass counts shingles by lossy counting; only the order of shingles depends on these counts, never the result.
 2. A second pass over class representatives orders each set and emits its prefix.
-3. Stars: each representative is verified against the hub that shares most of its prefix postings.  The verified pairs form a forest that already joins large groups of near copies without pairs inside them.
-4. Postings that still span several trees yield the remaining pairs across trees; those with enough shared postings
-   for their sizes and prefixes are verified.  Pairs inside one tree cannot change a component and are never made.
+3. Stars: each representative is verified against the hub that shares most of its first postings.  The verified pairs form a
+   forest that already joins large groups of near copies without pairs inside them.  Turns of stars go on while they help.
+4. Postings that still span several trees yield the remaining pairs across trees, by shingle and class of sizes; those with l
+   shared postings are verified.  Pairs inside one tree cannot change a component and are never made.  A document with more
+   shingles of its own than a link allows has none of its group's common shingles at the places that count, and so
+   meets nobody there.
 5. Verification intersects whole sets, rebuilt from the text for the documents that take part.
 
 Nulls and edge cases: a null or blank text has the empty set (size 0) and links with nothing; fewer words than the shingle
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,10 @@ from .common import Words, arrow_map, discard, mix64, pieces, shingle_hashes, st
 WORDS, THRESHOLD = 5, 0.75
 #: Shingles kept in the order table; the rest count as rare.  A bound on what is collected and broadcast (8 bytes each), not on results.
 FREQUENT = 400_000
-#: Rounds of stars before pairs are made.
-STAR_ROUNDS = 2
+#: Most turns of stars before pairs are made.
+STAR_TURNS = 6
+#: Ratio of the sizes in one class of the join across trees, and parts that a hub's partners are dealt to.
+SIZE_CLASS, SALTS = 1.05, 64
 #: Largest l tried, and the cost of verifying a candidate in units of reading one posting.
 MOST_MATCHES, VERIFY_COST = 8, 40.0
 
@@ -94,10 +100,14 @@ def _profile(k: int, flush: int = 2_000_000):
     return run
 
 
+def _alike(threshold: float) -> float:
+    """Share of the summed sizes of two sets that their intersection reaches where their similarity reaches the threshold."""
+    return threshold / (1 + threshold)
+
+
 def _matches(n: int, need: int, df: np.ndarray) -> int:
-    """The l of least estimated cost: postings read, and candidates (at most sum(df - 1) / l of them) verified."""
-    base = n - need
-    most = min(MOST_MATCHES, need)
+    """The l of least estimated cost, against sets that have to share ``need`` shingles: postings read, and candidates (at most sum(df - 1) / l of them) verified."""
+    base, most = n - need, min(MOST_MATCHES, need)
     read = np.cumsum(df[: base + most])[base : base + most]
     made = read - np.arange(base + 1, base + most + 1)
     return 1 + int(np.argmin(read + VERIFY_COST * made / np.arange(1, most + 1)))
@@ -108,7 +118,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _prefixes(k: int, threshold: float, frequent):
-    """Arrow function: each document's size, l, mean log frequency of its shingles, and prefix shingles: those known to stand in several sets, and the others."""
+    """Arrow function: each document's size, l, mean log frequency of its shingles, and prefix: places and shingles, those known to stand in several sets apart from the others."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("need", pa.int32()), ("common", pa.float32()), ("known", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -126,7 +136,7 @@ def _prefixes(k: int, threshold: float, frequent):
                     df = np.where(known[at] == s, rank_df[at], 1)
                 order = np.lexsort((s, df))
                 need = math.ceil(round(threshold * n, 6))
-                many = _matches(n, need, df[order])
+                many = _matches(n, math.ceil(round(2 * n * _alike(threshold), 6)), df[order])  # by sets of its own size
                 front = order[: n - need + many]
                 prefix, often = s[front].view(np.int64), df[front] > 1
                 for part, value in zip(out, (ids[i], n, many, float(np.log(df).sum() / n), prefix[often], prefix[~often]), strict=True):
@@ -148,42 +158,117 @@ def _packed(k: int):
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Those (a, b) of pairs, distinct ids, whose whole sets reach the threshold."""
+    """Those (a, b) of pairs, distinct ids, whose whole sets reach the threshold; stored.
+
+    A document that stands in many pairs as ``a`` is a hub: its set is copied once for each of up to SALTS parts of its partners,
+    which spreads them over tasks, instead of all their sets meeting at the hub's.
+    """
     some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = arrow_map(within(texts, some, "id", "left_semi"), _packed(k), "id long, grams array<long>")
+    sets = stored(arrow_map(within(texts, some, "id", "left_semi"), _packed(k), "id long, grams array<long>"), "grams")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("part"))
     left = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
+    right = dealt.select("a", "part").distinct().join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
     both = F.size(F.array_intersect("ga", "gb")).cast("long")
     reach = both * 1_000_000 >= math.floor(threshold * 1_000_000) * (F.size("ga") + F.size("gb") - both)
-    return pairs.join(left, "b").join(right, "a").where(reach).select("a", "b")
+    out = stored(dealt.join(left, "b").join(right, ["a", "part"]).where(reach).select("a", "b"), "linked")
+    discard(sets)
+    return out
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
-    """(id, root): the least id reachable over the edges (a, b), for every id that stands in one.
+    """(id, root): the least id reachable over the edges (a, b), for every id that stands in one; stored.
 
-    Alternating large-star and small-star rounds; each is written to the shared folder.  A large group only ever meets in
-    aggregates and joins on its least member, and the edges never outnumber the first ones.
+    Alternating large-star and small-star rounds; each is written to the shared folder.  The edges never outnumber the first ones.
+    A node's least neighbour comes back to its edges by SALTS parts of them, so that a node of many edges is no task's alone.
     """
+
+    def spread(rows: DataFrame, least: DataFrame) -> DataFrame:
+        """rows (u, v) with the m that least (u, m) gives their u."""
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+        parts = dealt.select("u", "part").distinct().join(least, "u")
+        return dealt.join(parts, ["u", "part"]).drop("part")
+
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name)
     for _ in range(rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        large = spread(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
+        small = spread(large, low).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
         after = stored(small, name)
         sums = [df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first() for df in (edges, after)]
+        discard(edges)
         edges = after
         if sums[0] == sums[1]:
             break
     else:
         raise RuntimeError("connected components did not settle")
-    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    return roots.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    # After the last round each edge leads from a node to its root.
+    out = stored(edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()), name)
+    discard(edges)
+    return out
+
+
+def _reach(x: str, y: str, threshold: float) -> Column:
+    """Whether a posting that two documents share may be one of their first l, if they link.
+
+    They share alpha = threshold / (1 + threshold) of their summed sizes, and threshold of the larger one, so alpha - l + 1 shared shingles stand at the l-th one's place or behind it.
+    """
+    n = F.col(f"n_{x}"), F.col(f"n_{y}")
+    alpha = F.ceil(F.greatest((n[0] + n[1]) * _alike(threshold), F.greatest(*n) * threshold) - 1e-6)
+    most = F.least(f"l_{x}", f"l_{y}")
+    return (F.col(f"at_{x}") <= F.col(f"n_{x}") - alpha + most - 1) & (F.col(f"at_{y}") <= F.col(f"n_{y}") - alpha + most - 1)
+
+
+def _enough(rows: DataFrame) -> DataFrame:
+    """(a, b, shared) of the pairs of rows (a, b, l) that stand l times."""
+    return rows.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("l").alias("l")).where("shared >= l").select("a", "b", "shared")
+
+
+def _stars(placed: DataFrame, threshold: float, turn: int) -> DataFrame:
+    """(a, b): each document with the hub of another tree that it shares most of its first postings with.
+
+    Among the postings of a shingle and a band of sizes, one document is the hub: in the first turn the one whose shingles are
+    most common, which in a group of near copies is the one nearest to their origin, later the one of least hash.
+    """
+    band = F.floor(F.log("n") / -math.log(threshold)).cast("int")
+    fields = ("id", "n", "l", "at", "tree")
+    first = F.xxhash64("id_b", F.lit(turn)).cast("double") if turn else -F.col("common").cast("double")
+    shares = placed.select("gram", band.alias("band"), "common", *(F.col(c).alias(f"{c}_b") for c in fields))
+    hub = F.min(F.struct(first.alias("h"), *(F.col(f"{c}_b").alias(c) for c in fields))).alias("hub")
+    hubs = shares.groupBy("gram", "band").agg(hub, F.min("tree_b").alias("t0"), F.max("tree_b").alias("t1")).where("t1 > t0")
+    hubs = hubs.select("gram", "band", *(F.col(f"hub.{c}").alias(f"{c}_a") for c in fields))
+    met = shares.join(hubs, ["gram", "band"]).where("tree_a != tree_b").where(_reach("a", "b", threshold))
+    tried = _enough(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.least("l_a", "l_b").alias("l")))
+    return tried.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def _across(placed: DataFrame, threshold: float) -> DataFrame:
+    """(gram, class, side, id, n, l, at, tree): where documents of different trees may meet.
+
+    Of two documents, the smaller one stands with its class of sizes (side 0), at its places that reach a document of its size; the
+    larger one asks each class that its place reaches (side 1).  A key whose documents are all of one tree goes.
+    """
+    step = math.log(SIZE_CLASS)
+    cls = lambda n: F.floor(F.log(n) / step + 1e-9).cast("int")
+    n, room = F.col("n"), F.col("n") + F.col("l") - 1 - F.col("at")  # room: the most they may have to share
+    own = placed.where(F.ceil(2 * n * _alike(threshold) - 1e-6) <= room).withColumn("class", cls(n)).withColumn("side", F.lit(0))
+    least, most = cls(F.ceil(n * threshold - 1e-6)), cls(F.least(n, F.floor(room / _alike(threshold) + 1e-6) - n))
+    asks = placed.where(F.floor(room / _alike(threshold) + 1e-6) - n >= 1).withColumn("class", F.explode(F.when(most >= least, F.sequence(least, most)))).withColumn("side", F.lit(1))
+    columns = ["gram", "class", "side", "id", "n", "l", "at", "tree"]
+    rows = own.select(columns).unionByName(asks.select(columns))
+    mixed = rows.groupBy("gram", "class").agg(F.min("tree").alias("t0"), F.max("tree").alias("t1"), F.min("side").alias("s0")).where("t1 > t0 and s0 = 0").select("gram", "class")
+    return rows.join(mixed, ["gram", "class"], "left_semi")
+
+
+def _main_trees(open_: DataFrame) -> DataFrame:
+    """(gram, class, main, most, n): the tree with most rows of each key, their number, and that of all."""
+    trees = open_.groupBy("gram", "class", "tree").agg(F.count("*").alias("m"))
+    return trees.groupBy("gram", "class").agg(F.max_by("tree", F.struct("m", "tree")).alias("main"), F.max("m").alias("most"), F.sum("m").alias("n"))
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD) -> DataFrame:
-    """(id_col, n_shingles, component_id) for each row of docs; see the module text."""
+    """(id_col, n_shingles, component_id) for each row of docs; see the module text.  The result is a table in the shared folder, ``discard`` removes it."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = stored(arrow_map(texts, _profile(words), "kind byte, id long, n long, k1 long, k2 long"), "sets")
@@ -197,75 +282,85 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = spark.sparkContext.broadcast((known[order], top["df"].to_numpy(np.int64)[order]))
 
     # Texts of representatives only.  An id that comes with several texts stays if one of its sets has it as representative.
-    copies = rows.where("n > 0 and id is not null").join(classes.where("copies > 1"), ["k1", "k2"]).where("id > rep").select("id").distinct().join(reps, "id", "left_anti")
-    own = within(texts.where("id is not null"), stored(copies, "copies"), "id", "left_anti")
-    prefixes = arrow_map(own, _prefixes(words, threshold, frequent), "id long, n long, need int, common float, known array<long>, rare array<long>")
-    prefixes = stored(prefixes, "prefixes")
+    copies = stored(rows.where("n > 0 and id is not null").join(classes.where("copies > 1"), ["k1", "k2"]).where("id > rep").select("id").distinct().join(reps, "id", "left_anti"), "copies")
+    own = within(texts.where("id is not null"), copies, "id", "left_anti")
+    prefixes = stored(arrow_map(own, _prefixes(words, threshold, frequent), "id long, n long, l int, common float, known array<long>, rare array<long>"), "prefixes")
 
     # Postings of shingles that stand in several prefixes.  Frequent shingles are known to; only the others have to meet
-    # for that, so that no group in the window is large.  ``at``: place in the document's order; ``before``: how many of the
-    # places before it are postings as well, the others being shingles that no other document has.
-    rare = prefixes.select("id", "n", "need", "common", F.posexplode("rare").alias("at", "gram")).withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1").drop("df")
-    met = rare.unionByName(prefixes.select("id", "n", "need", "common", F.size("rare").alias("r"), F.posexplode("known").alias("k", "gram")).select("id", "n", "need", "common", (F.col("r") + F.col("k")).alias("at"), "gram"))
-    before = (F.row_number().over(Window.partitionBy("id").orderBy("at")) - 1).alias("before")
-    postings = stored(met.select("*", before), "postings")
+    # for that, so that no group in the window is large.  ``at``: place in the document's order.
+    head = ("id", "n", "l", "common")
+    rare = prefixes.select(*head, F.posexplode("rare").alias("at", "gram")).withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1").drop("df")
+    often = prefixes.select(*head, F.size("rare").alias("r"), F.posexplode("known").alias("k", "gram")).select(*head, (F.col("r") + F.col("k")).alias("at"), "gram")
+    postings = stored(rare.unionByName(often), "postings")
     discard(prefixes)
 
-    def able(x: str, y: str) -> Column:
-        """Whether two documents that share a posting can link: of the places before it, at most ``before`` are shared."""
-        most = F.least(f"before_{x}", f"before_{y}") + 1 + F.least(*(F.col(f"n_{e}") - F.col(f"at_{e}") - 1 for e in (x, y)))
-        return most * (1 + threshold) >= threshold * (F.col(f"n_{x}") + F.col(f"n_{y}")) - 1e-6
-
-    def required(x: str, y: str) -> Column:
-        """Shared postings that two documents need to link: those that a prefix can miss lie behind it in the one whose prefix ends first."""
-        behind = F.greatest(*(F.ceil(F.round(F.col(f"n_{e}") * threshold, 6)) - F.col(f"need_{e}") for e in (x, y)))
-        return F.greatest(F.ceil((F.col(f"n_{x}") + F.col(f"n_{y}")) * (threshold / (1 + threshold)) - 1e-6) - behind, F.least(f"need_{x}", f"need_{y}"))
-
-    # Stars, in rounds.  Among the postings of a shingle and a band of sizes (those of linked sets differ by the threshold at
-    # most), one document is the hub: in the first round the one whose shingles are most common, which in a group of near
-    # copies is the one nearest to their origin, later the one of least hash.  A document is verified against the hub of another tree with
-    # which it shares most.  Rounds only save pairs later: what they miss is found across trees.
-    band = F.floor(F.log("n") / -math.log(threshold)).cast("int")
-    fields = ("id", "n", "need", "at", "before", "tree")
-    forest, trees = None, None
-    for k in range(STAR_ROUNDS):
+    # Stars, in turns, while more pairs could meet across trees than there are postings and trees still grow together.
+    forest, trees, open_ = [], None, None
+    total, left = postings.count(), None
+    for turn in range(STAR_TURNS):
         placed = postings.withColumn("tree", F.col("id")) if trees is None else postings.join(trees, "id", "left").withColumn("tree", F.coalesce("root", "id")).drop("root")
-        first = F.xxhash64("id_b", F.lit(k)).cast("double") if k else -F.col("common").cast("double")
-        shares = placed.select("gram", band.alias("band"), "common", *(F.col(c).alias(f"{c}_b") for c in fields))
-        hubs = shares.groupBy("gram", "band").agg(F.min(F.struct(first.alias("h"), *(F.col(f"{c}_b").alias(c) for c in fields))).alias("hub"), F.min("tree_b").alias("t0"), F.max("tree_b").alias("t1"))
-        hubs = hubs.where("t1 > t0").select("gram", "band", *(F.col(f"hub.{c}").alias(f"{c}_a") for c in fields))
-        stars = shares.join(hubs, ["gram", "band"]).where("tree_a != tree_b").where(able("a", "b")).groupBy("id_b", "id_a").agg(F.count("*").alias("shared"), F.first(required("a", "b")).alias("least"))
-        best = stars.where("2 * shared >= least").groupBy(F.col("id_b").alias("b")).agg(F.max_by("id_a", F.struct("shared", -F.col("id_a"))).alias("a"))
-        tried = stored(best.select("a", "b"), "stars")
-        linked = _linked(tried, own, words, threshold)
-        forest = stored(linked if forest is None else forest.unionByName(linked), "forest")
-        trees = components(forest, "trees")
-
-    # Across trees.  From ``able`` follows spare_x + spare_y >= 0 with spare = n / 7 - (at - before) for a threshold of 0.75, so of
-    # two documents that can link one has no negative spare: those without (a passage that many share, each with words of
-    # its own before it) never meet each other.
-    spare = F.col("n") * ((1 - threshold) / (1 + threshold)) - (F.col("at") - F.col("before")) >= -1e-6
-    placed = postings.join(trees, "id", "left").select("id", "gram", "n", "need", "at", "before", F.coalesce("root", "id").alias("tree"), spare.alias("near"))
-    mixed = placed.groupBy("gram").agg(F.min("tree").alias("t0"), F.max("tree").alias("t1"), F.max("near").alias("some")).where("t1 > t0 and some").select("gram")
-    open_ = stored(placed.join(mixed, "gram", "left_semi"), "open")
-    left, right = (open_.select("gram", *(F.col(c).alias(f"{c}_{side}") for c in (*fields, "near"))) for side in "ab")
-    pairs = left.where("near_a").join(right, "gram").where("(id_a < id_b or not near_b) and id_a != id_b and tree_a != tree_b").where(able("a", "b"))
-    shared = pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), required("a", "b").alias("least")).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("least").alias("least"))
-    more = _linked(stored(shared.where("shared >= least").select("a", "b"), "pairs"), own, words, threshold)
+        if turn:
+            if open_ is not None:
+                discard(open_)
+            open_ = stored(_across(placed, threshold), "open")
+            was, left = left, _main_trees(open_).agg(F.sum((F.col("n") - F.col("most")) * F.col("n")).alias("x")).first()["x"] or 0
+            if left <= total or (was is not None and left > 0.9 * was):
+                break
+        tried = stored(_stars(placed, threshold, turn), "stars")
+        forest.append(_linked(tried, own, words, threshold))
+        discard(tried)
+        if trees is not None:
+            discard(trees)
+        trees = components(reduce(DataFrame.unionByName, forest), "trees")
+    else:
+        placed = postings.join(trees, "id", "left").withColumn("tree", F.coalesce("root", "id")).drop("root")
+        if open_ is not None:
+            discard(open_)
+        open_ = stored(_across(placed, threshold), "open")
+
+    # Across trees: a document of another tree than a key's main one meets all of that key, so no two of the main tree meet.
+    fields = ("id", "n", "l", "at", "tree", "side")
+    a, b = (open_.select("gram", "class", *(F.col(c).alias(f"{c}_{side}") for c in fields)) for side in "ab")
+    others = a.join(_main_trees(open_).select("gram", "class", "main"), ["gram", "class"]).where("tree_a != main").drop("main")
+    both = others.join(b.join(others.select("gram", "class").distinct(), ["gram", "class"], "left_semi"), ["gram", "class"])
+    larger = (F.struct("n_a", "id_a") < F.struct("n_b", "id_b"))  # the side 0 of a pair is the smaller
+    once = F.when(F.col("side_a") == 0, larger).otherwise(~larger) & (F.col("side_a") != F.col("side_b")) & (F.col("tree_a") != F.col("tree_b"))
+    met = both.where(once).where(_reach("a", "b", threshold)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.least("l_a", "l_b").alias("l"), "gram").distinct()
+    pairs = stored(_enough(met).select("a", "b"), "pairs")
+    forest.append(_linked(pairs, own, words, threshold))
 
     # An id whose rows hold several sets joins their classes.
     member = rows.join(classes, ["k1", "k2"]).select("id", "rep")
     several = member.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("id")
     tied = member.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    roots = components(forest.unionByName(more).unionByName(tied), "roots")
+    roots = components(reduce(DataFrame.unionByName, [*forest, tied]), "roots")
 
-    placed_rows = rows.join(classes.select("k1", "k2", "rep"), ["k1", "k2"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("rep")))
-    out = placed_rows.join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "id").alias("component_id"))
+    # Classes first, so that a large one meets its root once.
+    rooted = classes.select("k1", "k2", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
+    usable = (F.col("n") > 0) & F.col("id").isNotNull()
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    keys = dealt.where(usable).select("k1", "k2", "part").distinct().join(rooted, ["k1", "k2"])
+    out = dealt.join(keys, ["k1", "k2", "part"], "left").withColumn("root", F.when(usable, F.col("root")))
+    out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")), "groups")
+    for table in (seen, classes, copies, postings, trees, open_, pairs, roots, *forest):
+        discard(table)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """docs with one document of each near-duplicate group: the one of least id.  Documents without words are no copies of each other and stay."""
+    """docs with one document of each near-duplicate group: the one of least id.
+
+    Documents without words are no copies of each other and stay, as do rows with a null id.  Of rows that repeat an id and its text one
+    stays; an id's rows with different texts share their fate.
+    """
     groups = ngram_jaccard_join(docs, id_col, text_col, **params)
     gone = stored(groups.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "copies")
-    return within(docs, gone, id_col, "left_anti")
+    kept = within(docs, gone, id_col, "left_anti")
+    worded = F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
+    key = [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text")]
+    repeated = stored(docs.where(worded).groupBy(*key).count().where("count > 1").select("__id", "__text"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    marked = kept.select(F.struct(*docs.columns).alias("__row"), F.when(worded, key[0]).alias("__id"), key[1])
+    first = marked.join(repeated, ["__id", "__text"]).groupBy("__id", "__text").agg(F.first("__row").alias("__row"))
+    return marked.join(repeated, ["__id", "__text"], "left_anti").select("__row.*").unionByName(first.select("__row.*"))

@@ -9,8 +9,10 @@ The queries are a stated set and meet all rows in blocks: query blocks are dealt
 to one of them, so the join is an equi-join of packed blocks.  Only a query's best k of each block pair leave a task.
 
 Vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null id.  A vector meets only
-vectors of its own dimension.  Each row is a candidate for every query but itself, also where ids repeat.  Components are
-clipped to +-2^31 after scaling; sums are exact below 2^63.
+vectors of its own dimension.  Each row is a candidate for every query but itself, also where ids or vectors repeat; a query row that
+repeats gives its own rows.  Equal scores rank by the smaller id, whatever their sign.  Scores are exact wherever they fit a long; a component
+outside a long after scaling counts as the long's end, as does a score.  An empty table, or one without queries, gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ def _pack(rows: int):
         def block(dim, ids, cells):
             nonlocal made
             made += 1
-            vertical = np.ascontiguousarray(cells.T)
+            small = cells.min(initial=0) >= -(1 << 31) and cells.max(initial=0) < 1 << 31
+            vertical = np.ascontiguousarray(cells.T, dtype=np.int32 if small else np.int64)
             return pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + made]), pa.array([dim], pa.int32()), pa.array([len(ids)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vertical.tobytes()], pa.binary())],
                 names=["block", "dim", "n", "ids", "cells"],
@@ -73,14 +76,20 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def _exact(queries: np.ndarray, cells: np.ndarray) -> bool:
     """Whether float64 sums of products are exact."""
-    top = float(np.abs(queries).max(initial=0)) * float(np.abs(cells).max(initial=0))
+    top = float(np.abs(queries.astype(np.float64)).max(initial=0)) * float(np.abs(cells.astype(np.float64)).max(initial=0))
     return top * max(len(cells), 1) < 2**52
 
 
+def _floor(score: int) -> float:
+    """A double of at most the score."""
+    near = float(score)
+    return near if int(near) <= score else float(np.nextafter(near, -np.inf))
+
+
 def _tails(x: np.ndarray, steps: list[int]) -> np.ndarray:
-    """Lengths of the components from each step on: (steps, vectors)."""
+    """Lengths of the components from each step on, rounded up: (steps, vectors)."""
     square = x.astype(np.float64) ** 2
-    return np.sqrt(np.stack([square[s:].sum(0) for s in steps]))
+    return np.sqrt(np.stack([square[s:].sum(0) for s in steps])) * (1 + 1e-9)
 
 
 def block_best(queries: np.ndarray, cells: np.ndarray, ids: np.ndarray, floors: np.ndarray, own: np.ndarray, k: int):
@@ -101,18 +110,18 @@ def block_best(queries: np.ndarray, cells: np.ndarray, ids: np.ndarray, floors:
     steps = list(range(0, dim, STEP)) or [0]
     q_tail, c_tail = _tails(queries, [*steps[1:], dim]), _tails(cells, [*steps[1:], dim])
     first = q[: STEP].T @ c[: STEP]  # the first dimension block of all pairs at once
-    limit = first + q_tail[0][:, None] * c_tail[0]
+    limit = first + q_tail[0][:, None] * c_tail[0] + 1e-6
     for j in range(q.shape[1]):
         floor = floors[j]
-        alive = np.flatnonzero(limit[j] * (1 + 1e-9) + 1e-6 >= floor)
+        alive = np.flatnonzero(limit[j] >= floor)
         alive = alive[alive != own[j]]
         sums = first[j, alive]
         for s, at in enumerate(steps[1:], 1):
             sums = sums + q[at : at + STEP, j] @ c[at : at + STEP, alive]
             if len(alive) > k:
                 low = np.partition(sums - q_tail[s, j] * c_tail[s, alive], len(alive) - k)[len(alive) - k]  # k candidates reach this at least
-                floor = max(floor, low - 1e-6 * max(1.0, abs(low)))
-            keep = (sums + q_tail[s, j] * c_tail[s, alive]) * (1 + 1e-9) + 1e-6 >= floor
+                floor = max(floor, low - 1e-6)
+            keep = sums + q_tail[s, j] * c_tail[s, alive] + 1e-6 >= floor
             if not keep.all():
                 alive, sums = alive[keep], sums[keep]
         keep = sums >= floors[j]
@@ -122,7 +131,8 @@ def block_best(queries: np.ndarray, cells: np.ndarray, ids: np.ndarray, floors:
 
 
 def _open(ids, cells, dim, n):
-    return np.frombuffer(ids, np.int64), np.frombuffer(cells, np.int64).reshape(dim, n)
+    kind = np.int64 if len(cells) == 8 * dim * n else np.int32
+    return np.frombuffer(ids, np.int64), np.frombuffer(cells, kind).reshape(dim, n)
 
 
 def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, groups: int | None = None) -> DataFrame:
@@ -133,7 +143,7 @@ def top_k(rows: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
     """
     spark = rows.sparkSession
     groups = groups or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = F.transform(F.col(vector_col), lambda x: F.greatest(F.least(F.floor(x.cast("double") * scale), F.lit(1 << 31)), F.lit(-(1 << 31))).cast("long"))
+    cells = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
     sound = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.forall(vector_col, lambda x: F.coalesce(~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), F.lit(False)))
     usable = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col)).where(sound)
     packed = stored(arrow_map(usable.select("id", cells.alias("v")), _pack(BLOCK_ROWS), _PACKED), "blocks")
@@ -157,7 +167,7 @@ def _search(packed: DataFrame, is_query, id_col: str, k: int, groups: int) -> Da
                     floors = np.full(len(pick), -np.inf)
                     for j, _, scores in block_best(x[:, pick], x, own, floors.copy(), pick, k):
                         if len(scores) == k:
-                            floors[j] = scores[-1]
+                            floors[j] = _floor(int(scores[-1]))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([r["block"]]), pa.array([r["dim"]], pa.int32()), pa.array([len(pick)], pa.int32()), *(pa.array([v.tobytes()], pa.binary()) for v in (own[pick], np.ascontiguousarray(x[:, pick]), pick, floors))],
                         names=_QUERY_NAMES,

@@ -235,10 +235,33 @@ def test_top_k_against_brute_force(spark, dim, monkeypatch):
 
 
 def test_top_k_of_huge_components(spark):
-    rows = [(0, [3.0e8, 1.0]), (1, [3.0e8, 2.0]), (2, [-1.0, 5.0])]
-    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, 1).collect()
-    cut = 1 << 31
-    assert [(r.vec_id, r.score) for r in got] == [(1, cut * cut + 256 * 512)]
+    rows = [(0, [1.0e7, 1.0]), (1, [1.0e7, 2.0]), (2, [-1.0, 5.0]), (3, [9.0e6, 3.0e3])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") < 2, 3).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [x for x in brute_top(rows, 3, 1) if x[0] < 2]
+    assert max(r.score for r in got) == 2_560_000_000**2 + 256 * 512
+
+
+@pytest.mark.parametrize("dim", [4, 8, 32, 64])
+def test_top_k_of_negative_scores(spark, dim):
+    rng = np.random.default_rng(dim)
+    one = rng.uniform(1, 40, dim)
+    rows = [(0, [float(x) for x in one])] + [(i, [float(x) for x in -one * rng.uniform(0.2, 3)]) for i in range(1, 8)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0, 5).collect()
+    want = [x for x in brute_top(rows, 5, 1) if x[0] == 0]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want and len(want) == 5 and want[0][3] < 0
+
+
+def test_blocks_keep_the_candidates_that_their_floors_come_from():
+    rng = np.random.default_rng(11)
+    for size in (3, 10**3, 10**6, 10**8):
+        for dim in (4, 40, 64):
+            cells = -rng.integers(size // 2, size, (dim, 30))
+            query = rng.integers(size // 2, size, (dim, 1))
+            ids, own = np.arange(30), np.array([-1])
+            ((_, at, scores),) = topk.block_best(query, cells, ids, np.array([-np.inf]), own, 5)
+            ((_, again, _),) = topk.block_best(query, cells, ids, np.array([topk._floor(int(scores[-1]))]), own, 5)
+            exact = sorted((-sum(int(a) * int(b) for a, b in zip(query[:, 0], cells[:, j], strict=True)), j) for j in range(30))[:5]
+            assert [(-s, int(j)) for s, j in zip(scores.tolist(), at, strict=True)] == exact and again.tolist() == at.tolist()
 
 
 # --- classifiers

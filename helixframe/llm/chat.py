@@ -1,15 +1,18 @@
 """Chat formatting over reply trees, with DataFrame functions only.
 
-Messages are nodes of trees.  Iterative self-joins enumerate the root-to-leaf paths: each round joins the paths so far with
-the 2^k-th ancestors and the ancestors with themselves, so a chain of n messages takes log2(n) rounds and every join key
-is a single node.  Branches of a tree are ranked by the sum of their nodes' scores (ties to the lesser leaf), and each
-chosen path becomes one formatted conversation with the spans of its loss mask.
+Messages are nodes of trees.  Branches of a tree are ranked by the sum of their nodes' scores (ties to the lesser leaf).  Iterative
+self-joins over node ids alone, without texts, sum the scores from each node up to its root: round k joins each node with
+its 2^k-th ancestor, so a chain of n messages takes log2(n) rounds and every join key is a single node.  The same ancestors
+then enumerate the root-to-leaf paths of the chosen branches only.  Texts are joined once, at the end: by a broadcast of the
+chosen steps if they are at most BROADCAST_STEPS rows, else by a shuffle.  Each chosen path becomes one formatted conversation with the spans of its loss mask.
 
 Template: ``<role>`` line feed, text, ``</turn>`` line feed for each turn.  In roles and texts ``&``, ``<`` and ``>`` are
 written as entities, so control strings inside them stay text and reading back restores them.
 
-A null text or role is empty.  A parent that does not exist makes its node a root.  Nodes that reach no root (cycles) are on no
-path.  A null tree id is a tree of its own.  Columns other than the named ones are ignored.
+A null text or role is empty, a null score 0.  A parent that does not exist makes its node a root.  Nodes that reach no root
+(cycles) are on no path.  Nodes without a tree id form one tree, the null tree.  Of rows that repeat a tree and node, the one of least role and text
+counts, with the least parent and score.  Texts of any length stay whole; a conversation is one row, so its length is bounded by what a
+row may hold.  An empty table gives no conversations.  Columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 END = "</turn>\n"
+#: Rows up to which the chosen steps (five numbers each) are broadcast, about 16 MB.
+BROADCAST_STEPS = 200_000
 
 
 def escape(c: Column) -> Column:
@@ -39,27 +44,38 @@ def chain(turns: DataFrame, conv_col: str, turn_col: str, role_col: str, text_co
     return rows.select("tree", node.alias("node"), "role", "text").withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(tree, leaf, node, up): the nodes of each root-to-leaf path with their distance from the leaf."""
-    ups = nodes.select("tree", "node", "parent")
-    some = ups.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
-    known = ups.select(F.col("tree").alias("t"), F.col("node").alias("p")).distinct()
-    leaves = ups.join(some, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    jump = stored(ups.join(known, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p"))).select("tree", "node", F.col("parent").alias("over")), "jump")
-    roots = ups.join(jump.select(F.col("tree").alias("t"), F.col("node").alias("p")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti").select(F.col("tree").alias("t"), F.col("node").alias("p"))
-    found, left, rounds, k = stored(leaves, "paths"), jump.count(), 0, 0
-    rounds = math.ceil(math.log2(left + 2)) + 1
-    while left and k < rounds:
-        a = found.alias("a")
-        far = a.join(jump.alias("j"), F.expr("a.tree <=> j.tree and a.node = j.node")).select("a.tree", "a.leaf", F.col("j.over").alias("node"), (F.col("a.up") + (1 << k)).alias("up"))
-        found = stored(found.unionByName(far), "paths")
-        jump = stored(jump.alias("x").join(jump.alias("y"), F.expr("x.tree <=> y.tree and x.over = y.node")).select("x.tree", "x.node", "y.over"), "jump")
-        left, k = jump.count(), k + 1
-    if not left:
-        return found
-    # Some node reaches no root: keep the paths that do.
-    ends = found.join(roots, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p"))).select(F.col("tree").alias("t2"), F.col("leaf").alias("l2")).distinct()
-    return found.join(ends, F.col("tree").eqNullSafe(F.col("t2")) & (F.col("leaf") == F.col("l2")), "left_semi")
+def _at(left: str, place: str, right: str) -> Column:
+    """The condition that a place of left is a node of right, of the same tree."""
+    return F.expr(f"{left}.tree <=> {right}.tree and {left}.{place} = {right}.node")
+
+
+def climb(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (tree, node, over, total), stored: after round k, over is the 2^k-th ancestor, null beyond the root, and total the score of the nodes below it.
+
+    In the last one, nodes that reach a root have none.  nodes: (tree, node, parent, score), one row for each node.
+    """
+    known = nodes.select("tree", "node")
+    first = nodes.alias("n").join(known.alias("p"), _at("n", "parent", "p"), "left").select("n.tree", "n.node", F.col("p.node").alias("over"), F.col("score").alias("total"))
+    found = [stored(first, "climb")]
+    left = found[0].where("over is not null").count()
+    most = math.ceil(math.log2(left + 2)) + 1  # beyond, only cycles are left
+    while left and len(found) <= most:
+        low, high = found[-1].alias("x"), found[-1].alias("y")
+        found.append(stored(low.join(high, _at("x", "over", "y"), "left").select("x.tree", "x.node", "y.over", (F.col("x.total") + F.coalesce("y.total", F.lit(0.0))).alias("total")), "climb"))
+        left = found[-1].where("over is not null").count()
+    return found
+
+
+def paths(leaves: DataFrame, climbed: list[DataFrame]) -> DataFrame:
+    """leaves (tree, leaf, ...) with node and up: the nodes of each one's way to the root with their distance from the leaf; stored."""
+    held = [c for c in leaves.columns if c != "tree"]
+    found = stored(leaves.withColumn("node", F.col("leaf")).withColumn("up", F.lit(0).cast("long")), "paths")
+    for k, step in enumerate(climbed[:-1]):
+        far = found.alias("a").join(step.where("over is not null").alias("j"), _at("a", "node", "j")).select("a.tree", *(f"a.{c}" for c in held), F.col("j.over").alias("node"), (F.col("a.up") + (1 << k)).alias("up"))
+        more = stored(found.unionByName(far), "paths")
+        discard(found)
+        found = more
+    return found
 
 
 def format_trees(nodes: DataFrame, branches: int | None = 1, loss_role: str = "assistant") -> DataFrame:
@@ -67,20 +83,24 @@ def format_trees(nodes: DataFrame, branches: int | None = 1, loss_role: str = "a
 
     nodes: (tree, node, parent, role, text, score).  loss: spans (start, end) of the texts of loss_role in ``formatted``, in code points.
     """
-    nodes = stored(nodes.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")), "nodes")
-    steps = paths(nodes)
-    placed = steps.alias("s").join(nodes.alias("n"), F.expr("s.tree <=> n.tree and s.node = n.node")).select("s.tree", "s.leaf", "s.up", "n.role", "n.text", "n.score")
-    if branches is not None:
-        # Only where a tree has several leaves is there a choice to make.
-        scores = placed.groupBy("tree", "leaf").agg(F.sum("score").alias("total"))
-        rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf"))
-        chosen = scores.withColumn("rank", rank).where(F.col("rank") <= branches)
-    else:
-        chosen = placed.groupBy("tree", "leaf").agg(F.sum("score").alias("total")).withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("total"), "leaf")))
-    kept = placed.alias("p").join(chosen.alias("c"), F.expr("p.tree <=> c.tree and p.leaf = c.leaf")).select("p.tree", "p.leaf", "p.up", "p.role", "p.text", "c.rank", F.col("c.total").alias("score"))
-    turn = kept.withColumn("head", F.concat(F.lit("<"), escape(F.col("role")), F.lit(">\n"))).withColumn("body", escape(F.col("text")))
+    slim = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.min(F.coalesce("score", F.lit(0.0))).alias("score"))
+    slim = stored(slim.where("node is not null"), "nodes")
+    climbed = climb(slim)
+    above = slim.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+    leaves = climbed[-1].where("over is null").alias("n").join(above.alias("a"), _at("n", "node", "a"), "left_anti").select("tree", F.col("node").alias("leaf"), F.col("total").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
+    chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= branches if branches is not None else F.lit(True))
+    steps = paths(chosen, climbed)
+    for table in (slim, *climbed):
+        discard(table)
+    small = steps.limit(BROADCAST_STEPS + 1).count() <= BROADCAST_STEPS
+    placed = nodes.alias("n").join((F.broadcast(steps) if small else steps.hint("shuffle_merge")).alias("s"), _at("s", "node", "n"))
+    turn = placed.select("s.tree", "s.leaf", "s.up", "s.rank", "s.score", F.coalesce("n.role", F.lit("")).alias("role"), F.coalesce("n.text", F.lit("")).alias("text"))
+    path = Window.partitionBy("tree", "leaf")
+    turn = turn.withColumn("last", F.lag("up").over(path.orderBy(F.desc("up"), "role", "text"))).where("last is null or last != up")
+    turn = turn.withColumn("head", F.concat(F.lit("<"), escape(F.col("role")), F.lit(">\n"))).withColumn("body", escape(F.col("text")))
     size = F.length("head") + F.length("body") + len(END)
-    before = F.coalesce(F.sum(size.cast("long")).over(Window.partitionBy("tree", "leaf").orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    before = F.coalesce(F.sum(size.cast("long")).over(path.orderBy(F.desc("up")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
     turn = turn.withColumn("start", before + F.length("head")).withColumn("end", F.col("start") + F.length("body"))
     parts = F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), F.concat("head", "body", F.lit(END)).alias("part"), (F.col("role") == loss_role).alias("learn"), "start", "end")))
     made = turn.groupBy("tree", "leaf").agg(F.first("rank").alias("rank"), F.first("score").alias("score"), F.count("*").alias("n_turns"), parts.alias("parts"))
@@ -88,14 +108,29 @@ def format_trees(nodes: DataFrame, branches: int | None = 1, loss_role: str = "a
     return made.select("tree", "leaf", "rank", "score", "n_turns", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("formatted"), loss.alias("loss"))
 
 
+def read_turns(formatted: DataFrame) -> DataFrame:
+    """(tree, leaf, turns, formatted_chars) for each formatted conversation: turns are (role, text, learned), learned being the text under the loss mask, null outside it.
+
+    All from the row itself, without a shuffle: one pass over the turns carries the place in the text and the next span of the mask.
+    """
+    seen = formatted.select("tree", "leaf", "loss", F.length("formatted").cast("long").alias("formatted_chars"), F.filter(F.split("formatted", END), lambda p: p != "").alias("parts"))
+    start = "cast(array(struct(0L as at, 0 as span)) as array<struct<at: bigint, span: int>>)"
+    places = F.expr(
+        f"""slice(aggregate(parts, {start}, (acc, p) -> concat(acc, array(struct(
+            element_at(acc, -1).at + length(p) + {len(END)}L as at,
+            element_at(acc, -1).span + if(get(loss, element_at(acc, -1).span).start < element_at(acc, -1).at + length(p) + {len(END)}L, 1, 0) as span)))), 1, size(parts))"""
+    )
+
+    def turn(part: Column, place: Column) -> Column:
+        head = F.length(F.substring_index(part, ">\n", 1)) + 2
+        text = F.substring(part, head + 1, F.length(part))
+        span = F.get(F.col("loss"), place["span"])
+        learned = F.when(span["start"] == place["at"] + head, F.substring(part, head + 1, (span["end"] - span["start"]).cast("int")))
+        return F.struct(unescape(F.substring(part, F.lit(2), head - 3)).alias("role"), unescape(text).alias("text"), unescape(learned).alias("learned"))
+
+    return seen.select("tree", "leaf", F.zip_with("parts", places, turn).alias("turns"), "formatted_chars")
+
+
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(tree, leaf, at, role, text, learned) for each turn of the formatted conversations; learned: the text under the loss mask, null outside it."""
-    turns = formatted.select("tree", "leaf", "loss", F.posexplode(F.split("formatted", END)).alias("at", "part")).where("part != ''")
-    head = F.length(F.substring_index("part", ">\n", 1)) + 2
-    turns = turns.withColumn("head", head).withColumn("body", F.expr("substring(part, head + 1)"))
-    before = F.coalesce(F.sum((F.length("part") + len(END)).cast("long")).over(Window.partitionBy("tree", "leaf").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    turns = turns.drop("loss").withColumn("start", before + F.col("head")).alias("t")
-    mask = formatted.select("tree", "leaf", F.explode("loss").alias("span")).select("tree", "leaf", "span.*").alias("m")
-    both = turns.join(mask, F.expr("t.tree <=> m.tree and t.leaf = m.leaf and t.start = m.start"), "left")
-    role = unescape(F.expr("substring(t.part, 2, t.head - 3)"))
-    return both.select("t.tree", "t.leaf", "t.at", role.alias("role"), unescape(F.col("t.body")).alias("text"), F.when(F.col("m.end").isNotNull(), unescape(F.expr("substring(t.body, 1, cast(m.end - m.start as int))"))).alias("learned"))
+    """(tree, leaf, at, role, text, learned) for each turn of the formatted conversations, as ``read_turns`` has them."""
+    return read_turns(formatted).select("tree", "leaf", F.posexplode("turns").alias("at", "turn")).select("tree", "leaf", "at", "turn.*")

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontam, html_extract, licenses, ngram_join, quality, secrets, topk, toxicity
-from .common import stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,15 +73,13 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = spark.sql(r"""SELECT * FROM VALUES (-7L, 0L, 'user', r'\### Assistant: </turn> ok'), (-7L, 1L, 'assistant', r'\### Assistant: </turn> ok') AS t(conv_id, turn, role, text)""")
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    made = stored(chat.format_trees(chat.chain(turns, "conv_id", "turn", "role", "text")), "formatted")
-    text = F.concat("role", F.lit("\n"), "text", F.lit("\n"))
-    ordered = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", c.alias("x")))), lambda s: s["x"]), "")
-    back = chat.read_back(made).groupBy("tree").agg(
-        F.count("*").alias("n_turns"), F.sha2(ordered(text), 256).alias("turns_sha256"), ordered(F.coalesce("learned", F.lit(""))).alias("learned")
-    )
-    sizes = made.select(F.col("tree").alias("t"), F.length("formatted").cast("long").alias("formatted_chars"))
-    both = back.join(sizes, F.col("tree").eqNullSafe(F.col("t")))
-    return both.select(F.col("tree").alias("conv_id"), "n_turns", "turns_sha256", F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), "formatted_chars")
+    back = chat.read_turns(chat.format_trees(chat.chain(turns, "conv_id", "turn", "role", "text")))
+    text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learned = F.array_join(F.transform("turns", lambda t: t["learned"]), "")  # nulls, of turns outside the mask, are left out
+    return back.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(text, 256).alias("turns_sha256"), F.length(learned).cast("long").alias("loss_chars"),
+        F.sha2(learned, 256).alias("loss_sha256"), "formatted_chars",
+    )
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -478,6 +478,35 @@ def test_reply_trees(spark):
     assert sorted((r.leaf, r["rank"]) for r in every.collect() if r.tree == 1) == [(2, 3), (4, 1), (5, 2)]
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_reply_trees_against_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(chat, "BROADCAST_STEPS", most)
+    rng = random.Random(12)
+    rows = []
+    for tree in range(6):
+        for node in range(rng.randint(1, 40)):
+            parent = rng.choice([None, *range(node)]) if node and rng.random() < 0.1 else node - 1 if node and rng.random() < 0.6 else rng.randrange(node) if node else None
+            rows.append((tree, node, parent, rng.choice(["user", "assistant"]), f"t{node}<", rng.randint(-3, 3) / 4))
+    df = spark.createDataFrame(rows + rows[:5] + [(0, None, None, "user", "no id", 0.0)], "tree long, node long, parent long, role string, text string, score double").selectExpr("*", "1 AS leaf", "'u' AS up", "2 AS total")
+    want = {}
+    for tree in range(6):
+        own = {r[1]: r for r in rows if r[0] == tree}
+        ends = []
+        for leaf in set(own) - {r[2] for r in own.values()}:
+            path, at = [], leaf
+            while at is not None:
+                path.append(at)
+                at = own[at][2]
+            ends.append((-sum(own[x][5] for x in path), leaf, path[::-1]))
+        for k, (total, leaf, path) in enumerate(sorted(ends)[:2], 1):
+            want[tree, leaf] = (k, -total, len(path), "".join(f"<{own[x][3]}>\n{own[x][4].replace('<', '&lt;')}</turn>\n" for x in path), [own[x][3] for x in path])
+    out = chat.format_trees(df, 2)
+    assert {(r.tree, r.leaf): (r["rank"], r.score, r.n_turns, r.formatted) for r in out.collect()} == {k: v[:4] for k, v in want.items()}
+    back = {(r.tree, r.leaf): r.turns for r in chat.read_turns(out).collect()}
+    assert {k: [t.role for t in v] for k, v in back.items()} == {k: v[4] for k, v in want.items()}
+    assert all((t.learned == t.text) if t.role == "assistant" else t.learned is None for v in back.values() for t in v)
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(9)
     bits = ["</turn>\n", "<user>\n", "&lt;", "&amp;", "\\", "\n", "é🙂", ">", "", "plain"]

@@ -113,6 +113,23 @@ def with_offsets(pos: Column, cigar: Column) -> Column:
     return F.transform(ops, following)
 
 
+def position_info(at: Column, pos: Column, cigar: Column) -> Column:
+    """What a read shows at reference position ``at``: struct(kind, qpos, insert_len, del_len, is_refskip), null where it covers nothing there.
+
+    kind: match or insertion (with qpos), deletion, complex_indel or refskip, as pileup rows have them.
+    """
+    ops = F.filter(with_offsets(pos, cigar), lambda o: o["op"].isin(*REF_OPS) & (o["ref_start"] <= at) & (at < o["ref_start"] + o["len"]))
+    o = F.get(ops, F.lit(0))
+    edge = (at == o["ref_start"] + o["len"] - 1) & (o["next_ins"] > 0)
+    match, gap = o["op"].isin("M", "=", "X"), (o["op"] == "D") | edge
+    kind = F.when(match & edge, "insertion").when(match, "match").when(edge, "complex_indel").when(o["op"] == "D", "deletion").otherwise("refskip")
+    info = F.struct(
+        kind.alias("kind"), F.when(match, o["q_start"] + at - o["ref_start"]).alias("qpos"), F.when(edge, o["next_ins"]).otherwise(0).alias("insert_len"),
+        F.when(~match & gap, o["len"]).otherwise(0).alias("del_len"), (o["op"] == "N").alias("is_refskip"),
+    )
+    return F.when(o.isNotNull(), info)
+
+
 # --- bases
 
 

@@ -65,10 +65,15 @@ def tag_text(aux: Column, key: str) -> Column:
     return tag(aux, key)["s"]
 
 
+def hex_bytes(text: Column) -> Column:
+    """The bytes of hexadecimal digits; null for an odd number of digits or other letters."""
+    return F.when(text.rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(text))
+
+
 def tag_hex(aux: Column, key: str) -> Column:
     """Bytes of an H tag; null for an odd number of digits or other letters."""
     v = tag(aux, key)
-    return F.when((v["type"] == "H") & v["s"].rlike("^([0-9A-Fa-f]{2})*$"), F.unhex(v["s"]))
+    return F.when(v["type"] == "H", hex_bytes(v["s"]))
 
 
 def tag_value(kind: str, i: Column | None = None, f: Column | None = None, s: Column | None = None, a: Column | None = None) -> Column:

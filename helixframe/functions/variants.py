@@ -41,10 +41,13 @@ def genotype_text(alleles: Column, phased: Column) -> Column:
 def float_text(x: Column) -> Column:
     """Six significant digits in fixed notation without trailing zeros; never an exponent."""
     size = F.abs(x)
-    decimals = F.greatest(F.lit(0), 5 - F.floor(F.log10(size)).cast("int"))
-    text = F.format_string("%.0f", x)
-    for d in range(1, 16):  # below 1e-10 the digits end at the fifteenth decimal
-        text = F.when(decimals >= d, F.format_string(f"%.{d}f", x)).otherwise(text)
+    # The six digits and the exponent of the scientific notation, the digits then shifted to their place.
+    scientific = F.format_string("%.5e", size)
+    digits, power = F.replace(F.substring_index(scientific, "e", 1), F.lit("."), F.lit("")), F.substring_index(scientific, "e", -1).cast("int")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    middle = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
+    text = F.when(power < 0, small).when(power < 5, middle).otherwise(F.format_string("%.0f", size))
+    text = F.concat(F.when(x < 0, "-").otherwise(""), text)
     stripped = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
     return F.when(x.isNull(), ".").when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0").otherwise(stripped)
 

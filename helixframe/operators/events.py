@@ -48,12 +48,13 @@ def pairs_with_read(reads: DataFrame, keep: tuple[str, ...] = ("read_id",), **op
     return rows.withColumn("bases", bases).withColumn("quals", quals).drop(*more)
 
 
-def pileup(reads: DataFrame, start: int | None = None, end: int | None = None, keep: tuple[str, ...] = ("read_id", "mapq", "flags"), payload: bool = True, q_next: bool = False) -> DataFrame:
+def pileup(reads: DataFrame, start: int | None = None, end: int | None = None, keep: tuple[str, ...] = ("read_id", "mapq", "flags"), payload: bool = True, q_next: bool = False, inserted: bool = False, ref: bool = False) -> DataFrame:
     """One row for each read and reference position that it covers: (contig, pos, *keep, op, qpos, base, qual, insert_len, del_len, is_refskip).
 
     Unmapped reads are dropped.  The interval [start, end] is applied before positions are expanded.  The last position of
     M, = or X before an insertion is an insertion, that of D or N a complex indel.  payload=False leaves base and qual out;
-    q_next=True adds q_next (bases of the read used before the op) and seq.
+    q_next=True adds q_next (bases of the read used before the op) and seq; inserted=True adds inserted, the bases of an insertion that follows.
+    ref=True adds ref_base from the reads' own reference window (ref_seq, see with_reference_window), N outside it.  Neither carries whole sequences on.
     """
     low = F.col("ref_start") if start is None else F.greatest("ref_start", F.lit(start))
     last = F.col("ref_start") + F.col("len") - 1
@@ -63,7 +64,8 @@ def pileup(reads: DataFrame, start: int | None = None, end: int | None = None, k
         source = source.where(F.col("end_pos") >= start)
     if end is not None:
         source = source.where(F.col("pos") <= end)
-    more = ("contig", *keep, *(("seq", "qual") if payload else ()))
+    more = ("contig", *keep, *(("seq", "qual") if payload else ("seq",) if inserted or q_next else ()), *(("ref_seq", "__start") if ref else ()))
+    source = source.withColumn("__start", F.col("pos")) if ref else source
     rows = ops(source, more).where(F.col("op").isin(*R.REF_OPS) & (F.col("len") > 0)).withColumn("low", low).withColumn("high", high).where("low <= high")
     rows = rows.withColumn("pos", F.explode(F.sequence("low", "high")))
     edge = (F.col("pos") == last) & (F.col("next_ins") > 0)
@@ -76,6 +78,12 @@ def pileup(reads: DataFrame, start: int | None = None, end: int | None = None, k
     ]
     if q_next:
         columns += [F.col("q_start").alias("q_next"), "seq"]
+    if inserted:
+        after = F.when(match, qpos + 2).otherwise(F.col("q_start") + 1)
+        columns.append(F.when(edge, F.substring(F.col("seq"), after, F.col("next_ins"))).alias("inserted"))
+    if ref:
+        own = F.substring(F.col("ref_seq"), F.col("pos") - F.col("__start") + 1, F.lit(1))
+        columns.append(F.when(F.coalesce(F.length(own), F.lit(0)) == 0, "N").otherwise(own).alias("ref_base"))
     if payload:
         at = qpos + 1
         columns.append(F.when(match, F.when(F.length("seq") == 0, "N").otherwise(F.substring(F.col("seq"), at, F.lit(1)))).alias("base"))
@@ -112,6 +120,26 @@ def edit_distance(pos: Column, cigar: Column, seq: Column, ref_seq: Column) -> C
     return F.aggregate(_blocks(R.with_offsets(pos, cigar)), F.lit(0), cost)
 
 
+def walk_counts(pos: Column, cigar: Column, seq: Column, qual: Column, ref_seq: Column, least_quality: int) -> Column:
+    """struct(insertions, inserted, deletions, deleted, ct, snv) of a read: events and bases of insertions and deletions, and its bases of enough quality that are T for a C
+    or differ from the reference.  All 0 where SEQ or QUAL does not fit the CIGAR.  ref_seq starts at pos."""
+    names = ("insertions", "inserted", "deletions", "deleted", "ct", "snv")
+    none = F.struct(*(F.lit(0).alias(n) for n in names))
+
+    def step(a, o):
+        q, r = (F.split(F.substring(s, at + 1, o["len"]), "") for s, at in ((seq, o["q_start"]), (ref_seq, o["ref_start"] - pos)))
+        good = F.filter(F.transform(F.zip_with(q, r, lambda x, y: F.struct(x.alias("q"), y.alias("r"))), lambda x, i: F.when(F.get(qual, o["q_start"] + i) >= least_quality, x)), lambda x: x.isNotNull())
+        match = o["op"].isin("M", "=", "X")
+        more = {
+            "insertions": F.when(o["op"] == "I", 1), "inserted": F.when(o["op"] == "I", o["len"]), "deletions": F.when(o["op"] == "D", 1), "deleted": F.when(o["op"] == "D", o["len"]),
+            "ct": F.when(match, F.size(F.filter(good, lambda x: (x["r"] == "C") & (x["q"] == "T")))), "snv": F.when(match, F.size(F.filter(good, lambda x: (x["r"] != x["q"]) & (x["q"] != "N")))),
+        }
+        return F.struct(*((a[n] + F.coalesce(more[n], F.lit(0))).alias(n) for n in names))
+
+    fits = (R.query_length(cigar) == F.length(seq)) & F.size(qual).isin(F.lit(0), F.length(seq))
+    return F.when(fits, F.aggregate(_blocks(R.with_offsets(pos, cigar)), none, step)).otherwise(none)
+
+
 def mismatch_text(pos: Column, cigar: Column, seq: Column, ref_seq: Column) -> Column:
     """MD: run lengths of matches, reference bases at mismatches, and ^bases for deletions; adjacent deletions are parted by 0."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("run"))

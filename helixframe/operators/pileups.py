@@ -46,14 +46,12 @@ def dedup_mates(rows: DataFrame, prefer_insertion: bool = False) -> DataFrame:
     prefer_insertion: when the bases agree, a read that carries an insertion goes before the first in template.
     """
     w = Window.partitionBy("contig", "pos", "qname")
-    agree = F.size(F.collect_set(F.coalesce("base", F.lit("-"))).over(w)) == 1
-    order = [F.col("qpos").isNull(), F.when(agree & F.lit(prefer_insertion), F.col("insert_len") == 0).otherwise(F.lit(False)), ~R.is_set(F.col("flags"), "first_in_template"), F.col("read_id")]
-    rank = F.row_number().over(w.orderBy(*order))
-    rows = rows.withColumn("__agree", agree) if prefer_insertion else rows
+    order = [F.col("qpos").isNull(), ~R.is_set(F.col("flags"), "first_in_template"), F.col("read_id")]
     if prefer_insertion:
-        order[1] = F.when(F.col("__agree"), F.col("insert_len") == 0).otherwise(F.lit(False))
-        rank = F.row_number().over(w.orderBy(*order))
-    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank", "__agree")
+        base = F.coalesce("base", F.lit("-"))
+        rows = rows.withColumn("__agree", F.min(base).over(w) == F.max(base).over(w))
+        order.insert(1, F.when(F.col("__agree"), F.col("insert_len") == 0).otherwise(F.lit(False)))
+    return rows.withColumn("__rank", F.row_number().over(w.orderBy(*order))).where("__rank = 1").drop("__rank", "__agree")
 
 
 def _count(condition: Column) -> Column:
@@ -112,15 +110,14 @@ def read_group_tallies(rows: DataFrame, group: str = "rg") -> DataFrame:
 def mpileup_text(rows: DataFrame) -> DataFrame:
     """(contig, pos1, ref_base, depth, bases, quals) in mpileup notation.
 
-    rows: pileup rows with ref_base, read_pos, read_end and seq.  ^ and the mapping quality open a read, $ closes it at its last
+    rows: pileup rows with ref_base, read_pos, read_end and inserted.  ^ and the mapping quality open a read, $ closes it at its last
     position; . and , stand for the reference base by direction, +n and bases for insertions, * for deletions, > and < for skips.
     """
     back = R.is_set(F.col("flags"), "reverse")
     case = lambda x: F.when(back, F.lower(x)).otherwise(F.upper(x))
     same = F.when(back, ",").otherwise(".")
     base = F.when(F.col("base") == F.col("ref_base"), same).otherwise(case(F.col("base")))
-    after = F.when(F.col("qpos").isNotNull(), F.col("qpos") + 2).otherwise(F.col("q_next") + 1)
-    inserted = F.concat(F.lit("+"), F.col("insert_len").cast("string"), case(F.substring(F.col("seq"), after, F.col("insert_len"))))
+    inserted = F.concat(F.lit("+"), F.col("insert_len").cast("string"), case(F.col("inserted")))
     body = (
         F.when(F.col("op") == "match", base).when(F.col("op") == "insertion", F.concat(base, inserted)).when(F.col("op") == "deletion", "*")
         .when((F.col("op") == "complex_indel") & ~F.col("is_refskip"), F.concat(F.lit("*"), inserted)).otherwise(F.when(back, "<").otherwise(">"))

@@ -139,15 +139,11 @@ def fn_vcf_text(spark, sf):
     return reads(spark, sf).select("read_id", V.percent_encode(F.concat("cigar_text", F.lit("%;"), "rg")).alias("encoded"), gt.alias("gt"))
 
 
-@query("""SELECT read_id, CASE WHEN p % 1000 = 0 THEN '0' ELSE rtrim(rtrim(printf('%.6f', (p % 1000) / 8000.0 ), '0'), '.') END AS small_text, cast(p as varchar) AS whole_text FROM reads WHERE p % 1000 IN (0, 800, 400, 160, 80, 8)""")
+@query("""SELECT read_id, CASE WHEN p % 1000 = 0 THEN '0' ELSE rtrim(rtrim(printf('%.6f', (p % 1000) / 8000.0 ), '0'), '.') END AS small_text, cast(p as varchar) AS whole_text,
+  '0.' || repeat('0', cast(8 + p % 17 as int)) || (1 + p % 9) AS tiny_text FROM reads""")
 def fn_float_text(spark, sf):
-    df = reads(spark, sf).where((F.col("p") % 1000).isin(0, 800, 400, 160, 80, 8))
-    return df.select("read_id", V.float_text(F.col("p") % 1000 / 8000.0).alias("small_text"), V.float_text(F.col("p").cast("double")).alias("whole_text"))
-
-
-@query("""SELECT read_id, CASE WHEN p % 1000 = 0 THEN '0' ELSE rtrim(rtrim(printf('%.6f', (p % 1000) / 8000.0 ), '0'), '.') END AS small_text, cast(p as varchar) AS whole_text FROM reads""")
-def fn_float_text_all(spark, sf):
-    return reads(spark, sf).select("read_id", V.float_text(F.col("p") % 1000 / 8000.0).alias("small_text"), V.float_text(F.col("p").cast("double")).alias("whole_text"))
+    tiny = (F.col("p") % 9 + 1).cast("double") / F.pow(F.lit(10.0), 9 + F.col("p") % 17)
+    return reads(spark, sf).select("read_id", V.float_text(F.col("p") % 1000 / 8000.0).alias("small_text"), V.float_text(F.col("p").cast("double")).alias("whole_text"), V.float_text(tiny).alias("tiny_text"))
 
 
 @query("SELECT tid, count(*) AS n, round(coalesce(sqrt(avg(mapq * mapq)), 0), 6) AS rms FROM reads GROUP BY tid")
@@ -270,7 +266,8 @@ def pileup_depth(spark, sf):
 
 @query(f"SELECT contig, pos, read_id, {REF_SQL} AS ref_base FROM pile")
 def jn_refbase(spark, sf):
-    return pileups.with_reference(events.pileup(reads(spark, sf), keep=("read_id",), payload=False), reference(spark), CHUNK).select("contig", "pos", "read_id", "ref_base")
+    df = events.with_reference_window(reads(spark, sf), reference(spark), CHUNK)
+    return events.pileup(df, keep=("read_id",), payload=False, ref=True).select("contig", "pos", "read_id", "ref_base")
 
 
 @query(f"""SELECT contig, pos, CASE WHEN pos + 7 <= {LAST_POS} THEN array_to_string(list_transform(range(pos, pos + 7), lambda k: {REF_SQL.replace('pos', 'k')}), '') END AS ref_bases FROM (SELECT DISTINCT contig, tid, pos + 100 AS pos FROM reads)""")
@@ -307,10 +304,13 @@ def qry_snv(spark, sf):
     return pileups.call_snvs(events.pileup(reads(spark, sf)), reference(spark), CHUNK).withColumn("af", F.round("af", 9))
 
 
-@query(_SNV + """ SELECT contig, pos, contig || chr(9) || (pos + 1) || chr(9) || '.' || chr(9) || ref_base || chr(9) || alt || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || 'DP=' || total AS head FROM called
-  WHERE total >= 5 AND alt IS NOT NULL AND alt_count / total >= 0.1""")
+_VCF_LINE = """contig || chr(9) || (pos + 1) || chr(9) || '.' || chr(9) || ref_base || chr(9) || alt || chr(9) || '.' || chr(9) || 'PASS' || chr(9) || 'DP=' || total || ';AF=' || format('{:g}', cast(cast(alt_count / total as float) as double))
+  || chr(9) || 'GT:DP' || chr(9) || CASE WHEN alt_count / total >= 0.8 THEN '1/1' ELSE '0/1' END || ':' || total"""
+
+
+@query(_SNV + f""" SELECT contig, pos, {_VCF_LINE} AS line FROM called WHERE total >= 5 AND alt IS NOT NULL AND alt_count / total >= 0.1""")
 def snk_vcf(spark, sf):
-    return pileups.vcf_lines(pileups.call_snvs(events.pileup(reads(spark, sf)), reference(spark), CHUNK)).select("contig", "pos", F.substring_index("line", ";AF=", 1).alias("head"))
+    return pileups.vcf_lines(pileups.call_snvs(events.pileup(reads(spark, sf)), reference(spark), CHUNK))
 
 
 @query("""SELECT contig, pos, read_id FROM (SELECT contig, pos, read_id, row_number() OVER (PARTITION BY contig, pos ORDER BY read_pos, read_id) AS k FROM pile) WHERE k <= 5""")
@@ -324,17 +324,9 @@ def win_dedup_mate(spark, sf):
     return pileups.dedup_mates(events.pileup(reads(spark, sf), keep=("read_id", "qname", "flags"))).select("contig", "pos", "qname", "read_id")
 
 
-@query("""SELECT g.contig, cast(g.p as int) AS pos, count(pile.read_id) AS depth FROM (SELECT 'chr' || t AS contig, p FROM range(4) a(t), range(0, 200) b(p)) g
-  LEFT JOIN pile ON pile.contig = g.contig AND pile.pos = g.p GROUP BY g.contig, g.p""")
-def win_gaps_dense(spark, sf):
-    grid = contigs(spark).select(F.col("name").alias("contig"), F.explode(F.sequence(F.lit(0), F.lit(199))).alias("pos"))
-    depth = events.pileup(reads(spark, sf).where("pos < 200"), 0, 199, keep=("read_id",), payload=False).groupBy("contig", "pos").agg(F.count("*").alias("depth"))
-    return grid.join(depth, ["contig", "pos"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-
-
 @query("""SELECT g.contig, cast(g.p as int) AS pos, count(pile.read_id) AS depth FROM (SELECT 'chr' || t AS contig, p FROM range(4) a(t), range(0, 4100) b(p)) g
   LEFT JOIN pile ON pile.contig = g.contig AND pile.pos = g.p GROUP BY g.contig, g.p""")
-def win_gaps_dense_all(spark, sf):
+def win_gaps_dense(spark, sf):
     grid = contigs(spark).select(F.col("name").alias("contig"), F.explode(F.sequence(F.lit(0), F.col("length").cast("int") - 1)).alias("pos"))
     depth = events.pileup(reads(spark, sf), keep=("read_id",), payload=False).groupBy("contig", "pos").agg(F.count("*").alias("depth"))
     return grid.join(depth, ["contig", "pos"], "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
@@ -362,10 +354,8 @@ FROM m GROUP BY contig, pos, ref_base"""
 
 @query(_mpileup_sql())
 def qry_mpileup(spark, sf):
-    df = reads(spark, sf).withColumns({"read_pos": F.col("pos"), "read_end": F.col("end_pos")})
-    rows = events.pileup(df, keep=("read_id", "mapq", "flags", "read_pos", "read_end"), q_next=True)
-    seqs = pileups.with_reference(rows, reference(spark), CHUNK)
-    return pileups.mpileup_text(seqs)
+    df = events.with_reference_window(reads(spark, sf).withColumns({"read_pos": F.col("pos"), "read_end": F.col("end_pos")}), reference(spark), CHUNK)
+    return pileups.mpileup_text(events.pileup(df, keep=("read_id", "mapq", "flags", "read_pos", "read_end"), inserted=True, ref=True))
 
 
 # --- read-level folds
@@ -399,16 +389,10 @@ def agg_md(spark, sf):
 a AS (SELECT contig, count(DISTINCT read_id) AS records, count(*) FILTER (WHERE op = 'I') AS insertions, cast(coalesce(sum(len) FILTER (WHERE op = 'I'), 0) as bigint) AS inserted, count(*) FILTER (WHERE op = 'D') AS deletions, cast(coalesce(sum(len) FILTER (WHERE op = 'D'), 0) as bigint) AS deleted FROM ev GROUP BY contig)
 SELECT a.*, ct, snv FROM a JOIN (SELECT contig, count(*) FILTER (WHERE rb = 'C' AND qb = 'T' AND q >= 20) AS ct, count(*) FILTER (WHERE rb <> qb AND qb <> 'N' AND q >= 20) AS snv FROM m GROUP BY contig) USING (contig)""")
 def qry_walk(spark, sf):
-    df = reads(spark, sf).where(~R.is_set(F.col("flags"), "unmapped"))
-    rows = pileups.with_reference(events.pairs_with_read(df, ("read_id", "contig")), reference(spark), CHUNK, "rpos")
-    n = lambda k: F.count_if(F.col("kind") == k)
-    total = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("len"))), F.lit(0)).cast("long")
-    good = (F.col("kind") == "match") & (F.get("quals", F.lit(0)) >= 20)
-    counts = rows.groupBy("contig").agg(
-        n("insertion").alias("insertions"), total("insertion").alias("inserted"), n("deletion").alias("deletions"), total("deletion").alias("deleted"),
-        F.count_if(good & (F.col("ref_base") == "C") & (F.col("bases") == "T")).alias("ct"), F.count_if(good & (F.col("ref_base") != F.col("bases")) & (F.col("bases") != "N")).alias("snv"),
-    )
-    return counts.join(df.groupBy("contig").agg(F.count("*").alias("records")), "contig")
+    df = events.with_reference_window(reads(spark, sf).where(~R.is_set(F.col("flags"), "unmapped")), reference(spark), CHUNK)
+    walked = df.select("contig", events.walk_counts(F.col("pos"), F.col("cigar"), F.col("seq"), F.col("qual"), F.col("ref_seq"), 20).alias("w"))
+    sums = ("insertions", "inserted", "deletions", "deleted", "ct", "snv")
+    return walked.groupBy("contig").agg(F.count("*").alias("records"), *(F.sum(F.col(f"w.{n}").cast("long")).alias(n) for n in sums))
 
 
 # --- base modifications
@@ -432,23 +416,27 @@ _PLACED = _MODS + ", placed AS (SELECT m.*, cast(o.ref_start + m.qpos - o.q_star
 
 @query(_PLACED + " SELECT read_id, contig, pos, code, probability FROM placed")
 def jn_mods(spark, sf):
-    df = reads(spark, sf)
-    return basemods.on_reference(df, basemods.modifications(df)).select("read_id", "contig", "pos", "code", "probability")
+    return basemods.placed_modifications(reads(spark, sf)).select("read_id", "contig", "pos", "code", "probability")
 
 
 @query(_PLACED + " SELECT contig, pos, code, count(*) FILTER (WHERE probability >= 128) AS modified, count(*) FILTER (WHERE probability < 128) AS unmodified, round(count(*) FILTER (WHERE probability >= 128) / count(*), 9) AS frequency FROM placed GROUP BY contig, pos, code")
 def qry_methyl(spark, sf):
-    df = reads(spark, sf)
-    return basemods.methylation(basemods.on_reference(df, basemods.modifications(df))).withColumn("frequency", F.round("frequency", 9))
+    return basemods.methylation(basemods.placed_modifications(reads(spark, sf))).withColumn("frequency", F.round("frequency", 9))
 
 
-@query("SELECT read_id, cast(i as int) AS qpos, b AS base, k FROM (SELECT read_id, flags, q.i AS i, q.b AS b, row_number() OVER (PARTITION BY read_id, q.b ORDER BY CASE WHEN flags & 16 <> 0 THEN -q.i ELSE q.i END) AS k FROM (SELECT *, unnest(list_transform(range(0, qlen), lambda x: {'i': x, 'b': substr(seq, cast(x + 1 as int), 1)})) AS q FROM reads)) WHERE b = 'C' AND k <= 3")
+_LETTERS = "(SELECT *, unnest(list_transform(range(0, qlen), lambda x: {'i': x, 'b': substr(seq, cast(x + 1 as int), 1)})) AS q FROM reads)"
+
+
+@query(f"SELECT read_id, cast(q.i as int) AS qpos, q.b AS base, cast(row_number() OVER (PARTITION BY read_id, q.b ORDER BY CASE WHEN flags & 16 <> 0 THEN -q.i ELSE q.i END) - 1 as int) AS ordinal FROM {_LETTERS} WHERE q.b <> 'N'")
 def win_ordinal(spark, sf):
-    from pyspark.sql import Window
+    return basemods.base_ordinals(reads(spark, sf))
+
 
-    rows = reads(spark, sf).select("read_id", "flags", F.posexplode(F.split("seq", "")).alias("qpos", "base")).where("base = 'C'")
-    order = F.when(R.is_set(F.col("flags"), "reverse"), -F.col("qpos")).otherwise(F.col("qpos"))
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy("read_id", "base").orderBy(order)).cast("long")).where("k <= 3").select("read_id", "qpos", "base", "k")
+@query(_MODS + f"""
+SELECT l.read_id, cast(l.q.i as int) AS qpos, l.q.b AS base, CASE WHEN EXISTS (SELECT 1 FROM mods m WHERE m.read_id = l.read_id AND m.qpos = l.q.i) THEN false WHEN l.p % 4 = 2 AND CASE WHEN l.flags & 16 <> 0 THEN translate(l.q.b, 'ACGT', 'TGCA') ELSE l.q.b END = 'A' THEN true END AS unmodified
+FROM {_LETTERS} l WHERE l.p % 4 <> 0 AND l.q.b <> 'N' AND l.read_id NOT IN (SELECT read_id FROM bad)""")
+def fn_unmodified(spark, sf):
+    return basemods.unmodified(reads(spark, sf))
 
 
 # --- rewrites, order, mates
@@ -471,20 +459,9 @@ def mut_align(spark, sf):
     return out.select("read_id", "pos", "rejected", R.cigar_format(F.col("cigar")).alias("cigar_text"), "end_pos")
 
 
-@query("SELECT tid, pos, read_id, row_number() OVER (ORDER BY tid, pos, read_id) AS k FROM reads QUALIFY k <= 500")
-def srt_pos(spark, sf):
-    top = rewrites.coordinate_sorted(reads(spark, sf).select("tid", "pos", "read_id")).limit(500)
-    from pyspark.sql import Window
-
-    return top.withColumn("k", F.row_number().over(Window.orderBy("tid", "pos", "read_id")).cast("long"))
-
-
 @query("SELECT tid, pos, read_id, row_number() OVER (ORDER BY tid, pos, read_id) AS k FROM reads")
-def srt_pos_all(spark, sf):
-    from pyspark.sql import Window
-
-    df = rewrites.coordinate_sorted(reads(spark, sf).select("tid", "pos", "read_id"))
-    return df.withColumn("k", F.row_number().over(Window.orderBy("tid", "pos", "read_id")).cast("long"))
+def srt_pos(spark, sf):
+    return rewrites.numbered(rewrites.coordinate_sorted(reads(spark, sf).select("tid", "pos", "read_id")), "k")
 
 
 @query("""SELECT tid, read_id, pos, f, q FROM (SELECT *, lag(struct_pack(a := pos, b := f, c := q)) OVER (PARTITION BY tid ORDER BY pos, read_id) AS was FROM (SELECT tid, read_id, cast(pos - pos % 40 as int) AS pos, cast(flags & 16 as int) AS f, 'q' || (read_id % 3) AS q FROM reads)) WHERE was IS NULL OR was <> struct_pack(a := pos, b := f, c := q)""")

@@ -17,10 +17,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual, WriterCommitMessage
 
 from . import bgzf
 from .index import Builder, Index, reg2bin
+from .sam import check_sort_order
+from .staging import StagedWriter
 
 SCHEMA = (
     "read_id bigint, qname string, flags int, tid int, contig string, pos int, end_pos int, mapq int, cigar array<struct<op:string,len:int>>, seq string, qual array<int>,"
@@ -185,6 +187,7 @@ class BamReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.per_part = options["path"], int(options.get("chunkBytes", 8 << 20))
         self.keep_unmapped = options.get("keepUnmapped", "false").lower() == "true"
+        self.any_order = options.get("anyOrder", "false").lower() == "true"
         self.where: dict[str, object] = {}
 
     def pushFilters(self, filters) -> Iterator:
@@ -203,10 +206,15 @@ class BamReader(DataSourceReader):
         for number, path in enumerate(_files(self.path)):
             index = find_index(path)
             if index is None:
+                with open(path, "rb") as f:
+                    if not self.any_order:
+                        check_sort_order(Header.read(bgzf.Reader(f)).text)
                 parts.append(_Part(path, number, None))
                 continue
             with open(path, "rb") as f:
                 header = Header.read(bgzf.Reader(f))
+            if not self.any_order:
+                check_sort_order(header.text)
             with open(index, "rb") as f:
                 found = Index(f.read())
             if "contig" in self.where:
@@ -256,27 +264,16 @@ class BamReader(DataSourceReader):
                         yield row
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    path: str
-    rows: int
-
-
-class BamWriter(DataSourceWriter):
-    def __init__(self, options):
-        self.path, self.header = options["path"], options.get("header", "")
-        self.level, self.index = int(options.get("level", 6)), options.get("index", "true").lower() == "true"
+class BamWriter(StagedWriter):
+    def __init__(self, options, overwrite):
+        super().__init__(options["path"], overwrite, ".bam")
+        self.header, self.level, self.index = options.get("header", ""), int(options.get("level", 6)), options.get("index", "true").lower() == "true"
         self.contigs = [(n, int(size)) for n, size in (x.rsplit(":", 1) for x in options["contigs"].split(","))]
 
     def write(self, iterator) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{task.partitionId():05d}.bam")
-        own = f"{name}.{task.taskAttemptId()}"
-        build, n = Builder(len(self.contigs)), 0
-        with open(own, "wb") as f:
+        own, done = self.begin()
+        build = Builder(len(self.contigs))
+        with open(own + ".bam", "wb") as f:
             w = bgzf.Writer(f, self.level)
             w.write(Header(self.header, self.contigs).encode())
             w.flush()
@@ -291,14 +288,14 @@ class BamWriter(DataSourceWriter):
                     build.push_unplaced()
                 elif self.index:
                     build.push(row["tid"], row["pos"], row["end_pos"] + 1, start, w.tell(), not row["flags"] & 4)
-                n += 1
+                done.rows += 1
             w.close()
         if self.index:
-            with open(own + ".bai", "wb") as f:
+            with open(own + ".bam.bai", "wb") as f:
                 f.write(build.bai())
-            os.replace(own + ".bai", name + ".bai")
-        os.replace(own, name)
-        return _Written(name, n)
+            done.files.append((own + ".bam.bai", ".bam.bai"))
+        done.files.append((own + ".bam", ".bam"))
+        return done
 
 
 class BamSource(DataSource):
@@ -313,21 +310,49 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
     def writer(self, schema, overwrite):
-        return BamWriter(self.options)
+        return BamWriter(self.options, overwrite)
+
+
+def read_bytes(spark: SparkSession, data: bytes, keep_unmapped: bool = False) -> DataFrame:
+    """reads of the contents of one BAM file; record numbers are places in it.  The bytes travel as one row to the worker that decodes them."""
+    names = T.DataType.fromDDL(SCHEMA).names
+
+    def rows(batches):
+        import io
+
+        import pandas as pd
+
+        for batch in batches:
+            for raw in batch["data"]:
+                r = bgzf.Reader(io.BytesIO(bytes(raw)))
+                contigs, found = Header.read(r).contigs, []
+                while True:
+                    here = r.tell()
+                    size = r.read(4)
+                    if len(size) < 4:
+                        break
+                    row = dict(zip(names, decode(r.read(struct.unpack("<i", size)[0]), contigs, here), strict=True))
+                    if keep_unmapped or not row["flags"] & 4:
+                        row["cigar"] = [{"op": o, "len": n} for o, n in row["cigar"]]
+                        row["aux"] = {k: dict(zip(("type", "i", "f", "s", "a"), v, strict=True)) for k, v in row["aux"].items()}
+                        found.append(row)
+                yield pd.DataFrame(found, columns=names)
+
+    return spark.createDataFrame([(bytearray(data),)], "data binary").mapInPandas(rows, SCHEMA)
 
 
 def read_bam(spark: SparkSession, path: str, **options) -> DataFrame:
-    """reads of a BAM file or a folder of them.  Options: keepUnmapped, chunkBytes."""
+    """reads of a BAM file or a folder of them.  Options: keepUnmapped, chunkBytes, anyOrder (else a header that says unsorted is rejected)."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BamSource)
     return spark.read.format("bam").options(**options).load(path)
 
 
 def write_bam(reads: DataFrame, path: str, contigs: list[tuple[str, int]], header: str = "", partitions: int | None = None, **options) -> None:
-    """A folder of sorted, indexed BAM files that follow each other in coordinate order.  Options: level, index."""
+    """A folder of sorted, indexed BAM files that follow each other in coordinate order, in place of those of an earlier write.  Options: level, index."""
     spark = reads.sparkSession
     spark.dataSource.register(BamSource)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     unplaced = (F.col("tid").isNull() | (F.col("tid") < 0)).cast("int")
     rows = reads.select(*T.DataType.fromDDL(SCHEMA).names).repartitionByRange(n, unplaced, "tid", "pos").sortWithinPartitions(unplaced, "tid", "pos", "read_id")
-    rows.write.format("bam").mode("append").option("header", header).option("contigs", ",".join(f"{a}:{b}" for a, b in contigs)).options(**options).save(path)
+    rows.write.format("bam").mode("overwrite").option("header", header).option("contigs", ",".join(f"{a}:{b}" for a, b in contigs)).options(**options).save(path)

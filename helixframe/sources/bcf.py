@@ -1,4 +1,4 @@
-"""BCF sink: typed variant rows to blocked binary parts with a CSI index each.
+"""BCF: typed variant rows to blocked binary parts with a CSI index each, and back; a file is read by one task.
 
 Rows: (contig, pos, rlen, ref, alts array<string>, qual float, filters array<string>, info array<struct<key, ints, floats, text>>,
 genotypes array<struct<alleles array<int>, phased>>, formats array<struct<key, ints array<array<int>>>>).  An info entry with none of its
@@ -10,14 +10,14 @@ from __future__ import annotations
 import os
 import re
 import struct
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, WriterCommitMessage
 
 from . import bgzf
 from .index import Builder
+from .staging import StagedWriter
 
 SCHEMA = (
     "contig string, pos int, rlen int, ref string, alts array<string>, qual float, filters array<string>, info array<struct<key:string,ints:array<int>,floats:array<double>,text:string>>,"
@@ -106,26 +106,102 @@ def encode(row, contigs: dict[str, int], names: dict[str, int], samples: int) ->
     return struct.pack("<II", len(shared), len(own)) + shared + own
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    path: str
+def _typed(data: bytes, at: int) -> tuple[int, int, int]:
+    """(type, number of values, where they start) of the typed vector at ``at``."""
+    kind, n, at = data[at] & 15, data[at] >> 4, at + 1
+    if n == 15:
+        wide, _, at = _typed(data, at)
+        n = struct.unpack_from("<" + _INTS[wide][0], data, at)[0]
+        at += struct.calcsize(_INTS[wide][0])
+    return kind, n, at
+
+
+def _values(data: bytes, at: int, kind: int, n: int) -> tuple[list | str, int]:
+    """The values of a vector and where it ends: integers or floats (null where missing, short where ended) or a text."""
+    if kind == CHAR:
+        return data[at : at + n].decode(), at + n
+    if kind == FLOAT:
+        raw = [data[at + 4 * k : at + 4 * k + 4] for k in range(n)]
+        return [None if x == MISSING_FLOAT else struct.unpack("<f", x)[0] for x in raw if x != END_FLOAT], at + 4 * n
+    if kind not in _INTS:
+        return [], at
+    letter, _, missing, end = _INTS[kind]
+    found = struct.unpack_from(f"<{n}{letter}", data, at)
+    return [None if v == missing else v for v in found if v != end], at + struct.calcsize(f"<{n}{letter}")
+
+
+def decode(shared: bytes, own: bytes, contigs: list[str], names: list[str]) -> tuple:
+    """The row of a record's two parts; names and contigs by number."""
+    tid, pos, rlen = struct.unpack_from("<iii", shared)
+    qual = None if shared[12:16] == MISSING_FLOAT else struct.unpack_from("<f", shared, 12)[0]
+    counts, samples = struct.unpack_from("<II", shared, 16)
+    at, alleles = 24, []
+    _, at = _values(shared, *[x for k, n, a in [_typed(shared, at)] for x in (a, k, n)])
+    for _ in range(counts >> 16):
+        kind, n, at = _typed(shared, at)
+        allele, at = _values(shared, at, kind, n)
+        alleles.append(allele)
+    kind, n, at = _typed(shared, at)
+    filters, at = _values(shared, at, kind, n)
+    info = []
+    for _ in range(counts & 0xFFFF):
+        kind, n, at = _typed(shared, at)
+        (key,), at = _values(shared, at, kind, n)
+        kind, n, at = _typed(shared, at)
+        value, at = _values(shared, at, kind, n)
+        flag = n == 0 and kind != CHAR
+        info.append((names[key], value if kind in _INTS and not flag else None, value if kind == FLOAT else None, value if kind == CHAR else None))
+    genotypes, formats, at = [], [], 0
+    for _ in range(samples >> 24):
+        kind, n, at = _typed(own, at)
+        (key,), at = _values(own, at, kind, n)
+        kind, n, at = _typed(own, at)
+        rows = []
+        for _ in range(samples & 0xFFFFFF):
+            value, at = _values(own, at, kind, n)
+            rows.append(value)
+        if names[key] == "GT":
+            genotypes = [([None if v is None or v >> 1 == 0 else (v >> 1) - 1 for v in r], any(v is not None and v & 1 for v in r[1:])) for r in rows]
+        else:
+            formats.append((names[key], rows))
+    return contigs[tid], pos, rlen, alleles[0], alleles[1:], qual, [names[f] for f in filters], info, genotypes, formats
 
 
-class BcfWriter(DataSourceWriter):
+class BcfReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.header = options["path"], options["header"].split("\n")
+        self.path = options["path"]
+
+    def partitions(self):
+        files = sorted(os.path.join(self.path, n) for n in os.listdir(self.path) if n.endswith(".bcf")) if os.path.isdir(self.path) else [self.path]
+        return [InputPartition(f) for f in files] or [InputPartition(None)]
+
+    def read(self, partition):
+        if partition.value is None:
+            return
+        with open(partition.value, "rb") as f:
+            r = bgzf.Reader(f)
+            if r.read(5) != b"BCF\x02\x02":
+                raise ValueError(f"{partition.value!r} is no BCF file")
+            lines = r.read(struct.unpack("<I", r.read(4))[0]).rstrip(b"\0").decode().splitlines()
+            names = list(dictionary(lines))
+            contigs = [m[1] for m in (re.match(r"##contig=<ID=([^,>]+)", line) for line in lines) if m]
+            while len(sizes := r.read(8)) == 8:
+                shared, own = struct.unpack("<II", sizes)
+                yield decode(r.read(shared), r.read(own), contigs, names)
+
+
+class BcfWriter(StagedWriter):
+    def __init__(self, options, overwrite):
+        super().__init__(options["path"], overwrite, ".bcf")
+        self.header = options["header"].split("\n")
         self.contigs = {n: k for k, n in enumerate(options["contigs"].split(","))}
 
     def write(self, iterator) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{task.partitionId():05d}.bcf")
-        own, build = f"{name}.{task.taskAttemptId()}", Builder(len(self.contigs))
+        own, done = self.begin()
+        build = Builder(len(self.contigs))
         names, samples = dictionary(self.header), max(0, len(self.header[-1].split("\t")) - 9)
         raw = "\n".join(self.header).encode() + b"\n\0"
-        with open(own, "wb") as f:
+        with open(own + ".bcf", "wb") as f:
             w = bgzf.Writer(f)
             w.write(b"BCF\x02\x02" + struct.pack("<I", len(raw)) + raw)
             w.flush()
@@ -136,14 +212,14 @@ class BcfWriter(DataSourceWriter):
                 start = w.tell()
                 w.write(data)
                 build.push(self.contigs[row["contig"]], row["pos"], row["pos"] + row["rlen"], start, w.tell())
+                done.rows += 1
             w.close()
-        with open(own + ".csi", "wb") as f:
+        with open(own + ".bcf.csi", "wb") as f:
             t = bgzf.Writer(f)
             t.write(build.csi())
             t.close()
-        os.replace(own + ".csi", name + ".csi")
-        os.replace(own, name)
-        return _Written(name)
+        done.files += [(own + ".bcf.csi", ".bcf.csi"), (own + ".bcf", ".bcf")]
+        return done
 
 
 class BcfSource(DataSource):
@@ -154,8 +230,17 @@ class BcfSource(DataSource):
     def schema(self):
         return SCHEMA
 
+    def reader(self, schema):
+        return BcfReader(self.options)
+
     def writer(self, schema, overwrite):
-        return BcfWriter(self.options)
+        return BcfWriter(self.options, overwrite)
+
+
+def read_bcf(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a BCF file or a folder of them, as write_bcf takes them.  Formats of integers and floats keep their integers only; texts in formats are not read."""
+    spark.dataSource.register(BcfSource)
+    return spark.read.format("bcf_blocks").load(path)
 
 
 def call_rows(calls: DataFrame) -> DataFrame:
@@ -177,4 +262,4 @@ def write_bcf(rows: DataFrame, header: list[str], path: str, contigs: list[str],
     order = F.array_position(F.array(*map(F.lit, contigs)), F.col("contig"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartitionByRange(n, order, "pos").sortWithinPartitions(order, "pos")
-    placed.write.format("bcf_blocks").mode("append").option("header", "\n".join(header)).option("contigs", ",".join(contigs)).save(path)
+    placed.write.format("bcf_blocks").mode("overwrite").option("header", "\n".join(header)).option("contigs", ",".join(contigs)).save(path)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..functions import tags as X
+from . import bgzf
+from .index import Index
 
 
 def header_contigs(lines: DataFrame) -> DataFrame:
@@ -40,14 +44,17 @@ def add_program(header: str, name: str, version: str = "", command: str = "") ->
     return header.rstrip("\n") + ("\n" if header else "") + "\t".join(fields) + "\n"
 
 
-def parse_sam(lines: DataFrame, contigs: DataFrame, keep_unmapped: bool = False) -> DataFrame:
+def parse_sam(lines: DataFrame, contigs: DataFrame, keep_unmapped: bool = False, malformed: str = "drop") -> DataFrame:
     """reads of SAM record lines (value[, read_id]).  Unmapped reads, reads without a contig and those on unknown ones are dropped; carriage returns at line ends are.
 
-    A line with under 11 fields, a malformed CIGAR or a QUAL that does not fit SEQ is dropped, too.  contigs is a small dimension table.
+    A line with under 11 fields, a number or CIGAR that is none, or a QUAL that does not fit SEQ is dropped, too, or raises with malformed="fail".  contigs is a small dimension table.
     """
+    if malformed not in ("drop", "fail"):
+        raise ValueError(f"malformed lines can be dropped or fail, not {malformed!r}")
+    sound = lambda ok, what: ok if malformed == "drop" else F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed record: "), what)))
     f = F.split(F.regexp_replace("value", r"\r$", ""), "\t")
     has_id = "read_id" in lines.columns
-    rows = lines.where((F.col("value") != "") & ~F.col("value").startswith("@")).select(*(["read_id"] if has_id else []), f.alias("f")).where(F.size("f") >= 11)
+    rows = lines.where((F.col("value") != "") & ~F.col("value").startswith("@")).select(*(["read_id"] if has_id else []), f.alias("f")).where(sound(F.size("f") >= 11, F.array_join("f", " ")))
     get = lambda k: F.get("f", F.lit(k))
     seq = F.when(get(9) == "*", "").otherwise(R.normalize_bases(get(9)))
     rows = rows.select(
@@ -55,8 +62,8 @@ def parse_sam(lines: DataFrame, contigs: DataFrame, keep_unmapped: bool = False)
         get(4).try_cast("int").alias("mapq"), R.cigar_parse(get(5)).alias("cigar"), F.when(get(6) == "=", get(2)).otherwise(get(6)).alias("next_contig"), (get(7).try_cast("int") - 1).alias("next_pos"),
         get(8).try_cast("int").alias("template_len"), seq.alias("seq"), get(10).alias("q"), X.sam_tags(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0)))).alias("aux"),
     )
-    rows = rows.where("cigar is not null and flags is not null and pos is not null and pos >= 0")
-    rows = rows.withColumn("qual", R.decode_quality(F.col("q"), F.length("seq"))).where("size(qual) = length(seq)").drop("q")
+    rows = rows.where(sound(F.expr("cigar is not null and flags is not null and pos is not null and mapq is not null"), F.col("qname"))).where("pos >= 0")
+    rows = rows.withColumn("qual", R.decode_quality(F.col("q"), F.length("seq"))).where(sound(F.expr("size(qual) = length(seq)"), F.col("qname"))).drop("q")
     if not keep_unmapped:
         rows = rows.where(~R.is_set(F.col("flags"), "unmapped"))
     rows = rows.where("contig != '*'").join(contigs.select(F.col("name").alias("contig"), "tid"), "contig")
@@ -77,10 +84,84 @@ def sam_lines(reads: DataFrame) -> DataFrame:
     return reads.select(F.concat_ws("\t", *fields).alias("value"), "read_id")
 
 
-def read_sam(spark: SparkSession, path: str, keep_unmapped: bool = False) -> DataFrame:
-    """reads of SAM text files (plain, or compressed as spark.read.text reads them); splits of a plain file are parsed in parallel."""
+def read_sam(spark: SparkSession, path: str, keep_unmapped: bool = False, malformed: str = "drop", any_order: bool = False) -> DataFrame:
+    """reads of SAM text files (plain, or compressed as spark.read.text reads them); splits of a plain file are parsed in parallel.
+
+    A file whose first line says that it is not in coordinate order is rejected unless any_order.
+    """
     lines = spark.read.text(path)
-    return parse_sam(lines, header_contigs(lines), keep_unmapped)
+    if not any_order:
+        check_sort_order("\n".join(r["value"] for r in lines.head(1)))
+    return parse_sam(lines, header_contigs(lines), keep_unmapped, malformed)
+
+
+def read_sam_blocks(spark: SparkSession, path: str, contig: str | None = None, start: int = 0, end: int | None = None, **options) -> DataFrame:
+    """reads of a blocked SAM file (.sam.gz) with a .tbi or .csi index: of a region (0-based, inclusive), or of the whole file in parallel.
+
+    The driver reads the header and the index; a task reads each run of blocks.  Options as those of parse_sam.
+    """
+    found = next((path + e for e in (".tbi", ".csi") if os.path.exists(path + e)), None)
+    if found is None:
+        raise ValueError(f"{path!r} has no index")
+    with open(found, "rb") as f:
+        index = Index(f.read())
+    with open(path, "rb") as f:
+        r = bgzf.Reader(f)
+        head, here = [], r.tell()
+        while (line := _line(r)).startswith(b"@"):
+            head.append(line.decode().rstrip("\r\n"))
+            here = r.tell()
+    check_sort_order("\n".join(head))
+    contigs = header_contigs(spark.createDataFrame([(line,) for line in head], "value string").coalesce(1))
+    if contig is not None:
+        if contig not in index.names:
+            raise ValueError(f"unknown contig {contig!r}; there are {', '.join(index.names[:100])}")
+        chunks = index.query(index.names.index(contig), start, (1 << 29) - 2 if end is None else end)
+    else:
+        chunks = [(here, 1 << 62)] if options.get("keep_unmapped") else index.all_chunks()
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open(path, "rb") as f:
+                    r, lines = bgzf.Reader(f), []
+                    r.seek(a)
+                    while r.tell() < b and (line := _line(r)):
+                        lines.append(line.rstrip(b"\r\n").decode())
+                        if len(lines) == 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+                            lines = []
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+
+    runs = spark.createDataFrame(chunks, "start long, stop long").repartition(max(1, min(len(chunks), spark.sparkContext.defaultParallelism * 4)))
+    out = parse_sam(runs.mapInArrow(read, "value string"), contigs, **options)
+    if contig is None:
+        return out
+    last = 2**31 - 1 if end is None else end
+    return out.where((F.col("contig") == contig) & (F.col("pos") <= last) & (F.col("end_pos") >= start))
+
+
+def _line(r: bgzf.Reader) -> bytes:
+    """The next line with its end, empty at the file's end."""
+    parts = []
+    while True:
+        if r.at >= len(r.data):
+            first = r.read(1)
+            if not first:
+                break
+            parts.append(first)
+            if first == b"\n":
+                break
+            continue
+        cut = r.data.find(b"\n", r.at)
+        stop = len(r.data) if cut < 0 else cut + 1
+        parts.append(r.data[r.at : stop])
+        r.at = stop
+        if cut >= 0:
+            break
+    return b"".join(parts)
 
 
 def write_sam(reads: DataFrame, header: str, path: str) -> None:

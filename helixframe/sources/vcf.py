@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, WriterCommitMessage
 
 from . import bgzf
 from .index import Builder
+from .staging import StagedWriter
 
 
 def output_format(path: str) -> str:
@@ -21,23 +19,15 @@ def output_format(path: str) -> str:
     raise ValueError(f"no variant format for {path!r}")
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    path: str
-
-
-class VcfWriter(DataSourceWriter):
-    def __init__(self, options):
-        self.path, self.header, self.names = options["path"], options["header"], options["contigs"].split(",")
+class VcfWriter(StagedWriter):
+    def __init__(self, options, overwrite):
+        super().__init__(options["path"], overwrite, ".vcf.gz")
+        self.header, self.names = options["header"], options["contigs"].split(",")
 
     def write(self, iterator) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        task = TaskContext.get()
-        os.makedirs(self.path, exist_ok=True)
-        name = os.path.join(self.path, f"part-{task.partitionId():05d}.vcf.gz")
-        own, build = f"{name}.{task.taskAttemptId()}", Builder(len(self.names))
-        with open(own, "wb") as f:
+        own, done = self.begin()
+        build, number = Builder(len(self.names)), {n: k for k, n in enumerate(self.names)}
+        with open(own + ".vcf.gz", "wb") as f:
             w = bgzf.Writer(f)
             w.write(self.header.encode())
             w.flush()
@@ -47,15 +37,15 @@ class VcfWriter(DataSourceWriter):
                     w.flush()
                 start = w.tell()
                 w.write(data)
-                build.push(self.names.index(row["contig"]), row["pos"], row["pos"] + row["rlen"], start, w.tell())
+                build.push(number[row["contig"]], row["pos"], row["pos"] + row["rlen"], start, w.tell())
+                done.rows += 1
             w.close()
-        with open(own + ".tbi", "wb") as f:
+        with open(own + ".vcf.gz.tbi", "wb") as f:
             t = bgzf.Writer(f)
             t.write(build.tbi(self.names))
             t.close()
-        os.replace(own + ".tbi", name + ".tbi")
-        os.replace(own, name)
-        return _Written(name)
+        done.files += [(own + ".vcf.gz.tbi", ".vcf.gz.tbi"), (own + ".vcf.gz", ".vcf.gz")]
+        return done
 
 
 class VcfSource(DataSource):
@@ -67,7 +57,7 @@ class VcfSource(DataSource):
         return "contig string, pos int, rlen int, line string"
 
     def writer(self, schema, overwrite):
-        return VcfWriter(self.options)
+        return VcfWriter(self.options, overwrite)
 
 
 def write_vcf(lines: DataFrame, header: list[str], path: str, contigs: list[str], partitions: int | None = None) -> None:
@@ -83,4 +73,4 @@ def write_vcf(lines: DataFrame, header: list[str], path: str, contigs: list[str]
         rows.select(F.col("line").alias("value")).write.mode("overwrite").text(f"{path}/records")
         return
     spark.dataSource.register(VcfSource)
-    rows.select("contig", "pos", "rlen", "line").write.format("vcf_blocks").mode("append").option("header", "\n".join(header) + "\n").option("contigs", ",".join(contigs)).save(path)
+    rows.select("contig", "pos", "rlen", "line").write.format("vcf_blocks").mode("overwrite").option("header", "\n".join(header) + "\n").option("contigs", ",".join(contigs)).save(path)

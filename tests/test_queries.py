@@ -1,5 +1,6 @@
 import pytest
 
+import helixframe.plans.files  # noqa: F401  registers its queries
 from helixframe.plans.registry import ORACLE_SQL, QUERIES
 
 

@@ -40,6 +40,8 @@ from .common import Words, arrow_map, discard, mix64, pieces, shingle_hashes, st
 WORDS, THRESHOLD = 5, 0.75
 #: Shingles kept in the order table; the rest count as rare.  A bound on what is collected and broadcast (8 bytes each), not on results.
 FREQUENT = 400_000
+#: Pairs that the join across trees may look at for each posting before another turn of stars is tried.
+PAIRS_PER_POSTING = 20
 #: Most turns of stars before pairs are made.
 STAR_TURNS = 6
 #: Ratio of the sizes in one class of the join across trees, and parts that a hub's partners are dealt to.
@@ -243,8 +245,20 @@ def _stars(placed: DataFrame, threshold: float, turn: int) -> DataFrame:
     return tried.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b")
 
 
+def _open(postings: DataFrame, trees: DataFrame, threshold: float) -> DataFrame:
+    """postings with the tree of their document, of the shingles that still stand in several trees and in a place that counts for documents of its size; stored.
+
+    Trees only grow together, so the others are done with for good.
+    """
+    placed = postings.drop("tree").join(trees, "id", "left").withColumn("tree", F.coalesce("root", "id")).drop("root")
+    room = F.col("n") + F.col("l") - 1 - F.col("at")
+    own = F.ceil(2 * F.col("n") * _alike(threshold) - 1e-6) <= room
+    mixed = placed.groupBy("gram").agg(F.min("tree").alias("t0"), F.max("tree").alias("t1"), F.max(own).alias("own")).where("t1 > t0 and own").select("gram")
+    return stored(placed.join(mixed, "gram", "left_semi"), "open")
+
+
 def _across(placed: DataFrame, threshold: float) -> DataFrame:
-    """(gram, class, side, id, n, l, at, tree): where documents of different trees may meet.
+    """(gram, class, side, id, n, l, at, tree): where documents of different trees may meet; stored.
 
     Of two documents, the smaller one stands with its class of sizes (side 0), at its places that reach a document of its size; the
     larger one asks each class that its place reaches (side 1).  A key whose documents are all of one tree goes.
@@ -256,9 +270,10 @@ def _across(placed: DataFrame, threshold: float) -> DataFrame:
     least, most = cls(F.ceil(n * threshold - 1e-6)), cls(F.least(n, F.floor(room / _alike(threshold) + 1e-6) - n))
     asks = placed.where(F.floor(room / _alike(threshold) + 1e-6) - n >= 1).withColumn("class", F.explode(F.when(most >= least, F.sequence(least, most)))).withColumn("side", F.lit(1))
     columns = ["gram", "class", "side", "id", "n", "l", "at", "tree"]
-    rows = own.select(columns).unionByName(asks.select(columns))
-    mixed = rows.groupBy("gram", "class").agg(F.min("tree").alias("t0"), F.max("tree").alias("t1"), F.min("side").alias("s0")).where("t1 > t0 and s0 = 0").select("gram", "class")
-    return rows.join(mixed, ["gram", "class"], "left_semi")
+    stands = own.groupBy("gram", "class").agg(F.min("tree").alias("t0"), F.max("tree").alias("t1"))
+    asked = asks.select(columns).join(stands, ["gram", "class"]).where("t0 != tree or t1 != tree").drop("t0", "t1")
+    met = asked.groupBy("gram", "class").agg(F.lit(1).alias("met")).select("gram", "class")
+    return stored(asked.unionByName(own.select(columns).join(met, ["gram", "class"], "left_semi")), "across")
 
 
 def _main_trees(open_: DataFrame) -> DataFrame:
@@ -273,7 +288,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     seen = stored(arrow_map(texts, _profile(words), "kind byte, id long, n long, k1 long, k2 long"), "sets")
     rows = seen.where("kind = 0").select("id", "n", "k1", "k2")
-    classes = stored(rows.where("n > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    # A class may hold a third of all rows: its representative comes to its rows in up to SALTS parts.
+    dealt = rows.where("n > 0 and id is not null").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    classes = stored(dealt.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
+    keys = dealt.select("k1", "k2", "part").distinct().join(classes, ["k1", "k2"])
+    members = stored(dealt.join(keys, ["k1", "k2", "part"]).select("id", "n", "part", "rep", "copies"), "members")
     reps = classes.select(F.col("rep").alias("id"))
 
     top = seen.where("kind = 1").groupBy(F.col("id").alias("gram")).agg(F.sum("n").alias("df")).where("df > 2").orderBy(F.desc("df"), "gram").limit(FREQUENT).toPandas()
@@ -282,7 +301,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     frequent = spark.sparkContext.broadcast((known[order], top["df"].to_numpy(np.int64)[order]))
 
     # Texts of representatives only.  An id that comes with several texts stays if one of its sets has it as representative.
-    copies = stored(rows.where("n > 0 and id is not null").join(classes.where("copies > 1"), ["k1", "k2"]).where("id > rep").select("id").distinct().join(reps, "id", "left_anti"), "copies")
+    copies = stored(members.where("copies > 1 and id > rep").select("id").distinct().join(reps, "id", "left_anti"), "copies")
     own = within(texts.where("id is not null"), copies, "id", "left_anti")
     prefixes = stored(arrow_map(own, _prefixes(words, threshold, frequent), "id long, n long, l int, common float, known array<long>, rare array<long>"), "prefixes")
 
@@ -294,34 +313,29 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     postings = stored(rare.unionByName(often), "postings")
     discard(prefixes)
 
-    # Stars, in turns, while more pairs could meet across trees than there are postings and trees still grow together.
-    forest, trees, open_ = [], None, None
+    # Stars, in turns, while too many pairs could meet across trees for the number of postings and trees still grow together.
+    forest, trees, open_, across = [], None, postings.withColumn("tree", F.col("id")), None
     total, left = postings.count(), None
     for turn in range(STAR_TURNS):
-        placed = postings.withColumn("tree", F.col("id")) if trees is None else postings.join(trees, "id", "left").withColumn("tree", F.coalesce("root", "id")).drop("root")
-        if turn:
-            if open_ is not None:
-                discard(open_)
-            open_ = stored(_across(placed, threshold), "open")
-            was, left = left, _main_trees(open_).agg(F.sum((F.col("n") - F.col("most")) * F.col("n")).alias("x")).first()["x"] or 0
-            if left <= total or (was is not None and left > 0.9 * was):
-                break
-        tried = stored(_stars(placed, threshold, turn), "stars")
+        tried = stored(_stars(open_, threshold, turn), "stars")
         forest.append(_linked(tried, own, words, threshold))
         discard(tried)
         if trees is not None:
             discard(trees)
         trees = components(reduce(DataFrame.unionByName, forest), "trees")
-    else:
-        placed = postings.join(trees, "id", "left").withColumn("tree", F.coalesce("root", "id")).drop("root")
-        if open_ is not None:
+        now = _open(open_, trees, threshold)
+        if turn:
             discard(open_)
-        open_ = stored(_across(placed, threshold), "open")
+            discard(across)
+        open_, across = now, _across(now, threshold)
+        was, left = left, _main_trees(across).agg(F.sum((F.col("n") - F.col("most")) * F.col("n")).alias("x")).first()["x"] or 0
+        if left <= PAIRS_PER_POSTING * total or (was is not None and left > 0.9 * was):
+            break
 
     # Across trees: a document of another tree than a key's main one meets all of that key, so no two of the main tree meet.
     fields = ("id", "n", "l", "at", "tree", "side")
-    a, b = (open_.select("gram", "class", *(F.col(c).alias(f"{c}_{side}") for c in fields)) for side in "ab")
-    others = a.join(_main_trees(open_).select("gram", "class", "main"), ["gram", "class"]).where("tree_a != main").drop("main")
+    a, b = (across.select("gram", "class", *(F.col(c).alias(f"{c}_{side}") for c in fields)) for side in "ab")
+    others = a.join(_main_trees(across).select("gram", "class", "main"), ["gram", "class"]).where("tree_a != main").drop("main")
     both = others.join(b.join(others.select("gram", "class").distinct(), ["gram", "class"], "left_semi"), ["gram", "class"])
     larger = (F.struct("n_a", "id_a") < F.struct("n_b", "id_b"))  # the side 0 of a pair is the smaller
     once = F.when(F.col("side_a") == 0, larger).otherwise(~larger) & (F.col("side_a") != F.col("side_b")) & (F.col("tree_a") != F.col("tree_b"))
@@ -330,19 +344,15 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     forest.append(_linked(pairs, own, words, threshold))
 
     # An id whose rows hold several sets joins their classes.
-    member = rows.join(classes, ["k1", "k2"]).select("id", "rep")
-    several = member.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("id")
-    tied = member.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    several = members.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("id")
+    tied = members.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a != b").distinct()
     roots = components(reduce(DataFrame.unionByName, [*forest, tied]), "roots")
 
-    # Classes first, so that a large one meets its root once.
-    rooted = classes.select("k1", "k2", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("k1", "k2", F.coalesce("root", "rep").alias("root"))
-    usable = (F.col("n") > 0) & F.col("id").isNotNull()
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    keys = dealt.where(usable).select("k1", "k2", "part").distinct().join(rooted, ["k1", "k2"])
-    out = dealt.join(keys, ["k1", "k2", "part"], "left").withColumn("root", F.when(usable, F.col("root")))
-    out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id")), "groups")
-    for table in (seen, classes, copies, postings, trees, open_, pairs, roots, *forest):
+    found = members.select("rep", "part").distinct().join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "part", F.coalesce("root", "rep").alias("root"))
+    placed = members.join(found, ["rep", "part"]).select("id", "n", F.col("root").alias("component_id"))
+    others = rows.where("not (n > 0 and id is not null)").select("id", "n", F.col("id").alias("component_id"))
+    out = stored(placed.unionByName(others).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), "groups")
+    for table in (seen, classes, members, copies, postings, trees, open_, across, pairs, roots, *forest):
         discard(table)
     return out
 

@@ -400,6 +400,100 @@ def test_decontamination(spark):
     assert decontam.find_leaks(docs(spark, EDGE), bench.limit(0)).count() == decontam.find_leaks(docs(spark, []), bench).count() == 0
 
 
+def template(text):
+    """Template tokens (token, slot value) of a text, by the letter of the rules, in plain Python."""
+    out, at = [], 0
+    for m in re.finditer(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text):
+        w, low = m[0], m[0].lower()
+        opens = m.start() <= 1 or any(chr(text[k]) in ".!?:;|\n\r\"'([{*-" for k in (m.start() - 1, m.start() - 2) if k >= 0)
+        before = at and digit
+        digit, at = w[:1].isdigit() and w[-1:].isdigit(), 1
+        name = w[:1].isupper() and len(w) > 1 and (97 <= w[1] < 123 or w[1] >= 128) and not opens
+        kind = "num" if digit else "unit" if low.decode() in decontam.UNITS and before else "name" if name else None
+        if kind and out and out[-1][0] == (kind,):
+            out[-1][1].append(low)
+        else:
+            out.append(((kind,), [low]) if kind else (low, None))
+    return [(t, None if v is None else frozenset(collections.Counter(v).items())) for t, v in out]
+
+
+def brute_leaks(docs, items):
+    """Covered tokens, windows and verbatim of each (document, item) found, by comparing every place of every document with every place of every item."""
+    found = {}
+    for item, text in items:
+        it = template((text or "").encode())
+        n = len(it)
+        if n < decontam.LEAST:
+            continue
+        width, word = min(decontam.WINDOW, n), [v is None for _, v in it]
+        spans = set()
+        for p in range(n - width + 1):
+            if 2 * sum(word[p : p + width]) >= width:
+                spans.add((p, width, False))
+                continue
+            spans.add((p, width, True))
+            longer = [(w, a) for w in range(width + 1, min(decontam.SPAN, n) + 1) for a in range(max(p + width - w, 0), min(p, n - w) + 1) if 2 * sum(word[a : a + w]) >= decontam.WINDOW]
+            spans |= {(a, w, False) for w, a in longer[:1]}
+        for doc, body in docs:
+            dt, hits = template((body or "").encode()), set()
+            for a, w, exact in spans:
+                for q in range(len(dt) - w + 1):
+                    if all(x[0] == y[0] and (not exact or x[1] == y[1]) for x, y in zip(it[a : a + w], dt[q : q + w], strict=True)):
+                        hits |= {(q - a, a + k) for k in range(w - width + 1)}
+            counts = collections.Counter(d for d, _ in hits)
+            there, back, covered, windows, verbatim = {}, {}, set(), 0, True
+            for d, p in sorted(hits, key=lambda h: (-counts[h[0]], h)):
+                pairs = [(it[p + k][1], dt[d + p + k][1]) for k in range(width) if it[p + k][1]]
+                if any(there.get(x, y) != y or back.get(y, x) != x for x, y in pairs):
+                    continue
+                there.update(pairs)
+                back.update((y, x) for x, y in pairs)
+                verbatim &= all(x == y for x, y in pairs)
+                covered |= set(range(p, p + width))
+                windows += 1
+            if len(covered) >= min(decontam.COVERED, decontam.COVERAGE * n) and covered:
+                found[doc, item] = (len(covered), windows, verbatim)
+    return found
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(21)
+    words = ["the", "price", "of", "apples", "Ann", "Bob", "pays", "5", "7", "12", "kg", "km", "for", "then", "gives", "Lea.", "buys", "sugar", "and", "what", "is", "left?"]
+    opening = "A shop sells fruit and a customer asks for some of them today".split()
+    items = [(k, " ".join([*(opening if k % 3 == 0 else []), *(rng.choice(words) for _ in range(rng.randint(1, 30)))])) for k in range(40)] + [(100, None), (101, ""), (7, "one more 5 kg of sugar for Ann and Bob")]
+    items.append((102, items[4][1]))
+    rows = []
+    for k in range(80):
+        w = [rng.choice(words) for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 3)):
+            own = (rng.choice(items)[1] or "").split()
+            for _ in range(rng.randint(0, 3)):
+                if own:
+                    own[rng.randrange(len(own))] = rng.choice(words)
+            w += own + [rng.choice(words) for _ in range(rng.randint(0, 5))]
+        rows.append((k, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id int, text string").selectExpr("*", "1 AS key", "2 AS hash")
+    got = {(r.doc_id, r.item_id): (r.covered, r.windows, r.verbatim) for r in decontam.find_leaks(docs(spark, rows), bench).collect()}
+    want = brute_leaks(rows, items)
+    assert got == want and len(got) > 50
+    local = decontam.Benchmark([i for i, _ in items], [(t or "").encode() for _, t in items])
+    assert {(rows[d][0], local.ids[k]): (c, w, v) for d, k, c, _, w, v in local.find([t.encode() for _, t in rows])} == want
+    same = decontam.find_leaks(docs(spark, rows).withColumnRenamed("doc_id", "id_").selectExpr("cast(id_ AS smallint) AS item_id", "text"), bench, id_col="item_id").collect()
+    assert {(r.item_id, r.item_item_id): r.covered for r in same} == {k: v[0] for k, v in want.items()}
+
+
+def test_many_items_with_one_opening():
+    import time
+
+    opening = "in the town there is a shop that sells fruit and a man who asks for"
+    items = [f"{opening} {w} and pays with a coin of gold" for w in (f"thing{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(600))]
+    windows = list(decontam.item_windows([t.encode() for t in items]))
+    assert all(spare >= 1 for *_, spare in windows)
+    start = time.time()
+    found = list(decontam.Benchmark(list(range(600)), [t.encode() for t in items]).find([" . ".join(items[:20]).encode()]))
+    assert len(found) >= 20 and time.time() - start < 30
+
+
 def test_inconsistent_slots_are_no_leak():
     b = decontam.Benchmark([1], [b"if x pays 5 coins and y pays 5 coins then both pay 10 coins and we owe 5 coins"])
     good = b"if x pays 7 coins and y pays 7 coins then both pay 14 coins and we owe 7 coins"

@@ -14,14 +14,15 @@ Steps, each over all rows:
 3. Stars: each representative is verified against the hub that shares most of its first postings.  The verified pairs form a
    forest that already joins large groups of near copies without pairs inside them.  Turns of stars go on while they help.
 4. Postings that still span several trees yield the remaining pairs across trees, by shingle and class of sizes; those with l
-   shared postings are verified.  Pairs inside one tree cannot change a component and are never made.  A document with more
+   shared first postings and enough shared ones in their whole prefixes are verified.  Pairs inside one tree cannot change a component and are never made.  A document with more
    shingles of its own than a link allows has none of its group's common shingles at the places that count, and so
    meets nobody there.
 5. Verification intersects whole sets, rebuilt from the text for the documents that take part.
 
 Nulls and edge cases: a null or blank text has the empty set (size 0) and links with nothing; fewer words than the shingle
 length give one shingle of the whole sequence; rows with a null id keep their row with a null component; rows that share an
-id are one node of the graph; repeated rows give repeated output rows; other columns of the input are ignored.
+id are one node of the graph; repeated rows give repeated output rows; texts of any length are read whole; equal sizes and counts
+are told apart by id, which changes no result; an empty table gives no rows; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ PAIRS_PER_POSTING = 20
 STAR_TURNS = 6
 #: Ratio of the sizes in one class of the join across trees, and parts that a hub's partners are dealt to.
 SIZE_CLASS, SALTS = 1.05, 64
+#: Edges that one task joins into components (16 bytes each).
+FEW_EDGES = 200_000
 #: Largest l tried, and the cost of verifying a candidate in units of reading one posting.
 MOST_MATCHES, VERIFY_COST = 8, 40.0
 
@@ -159,29 +162,71 @@ def _packed(k: int):
     return run
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Those (a, b) of pairs, distinct ids, whose whole sets reach the threshold; stored.
+def _with_facts(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """pairs (a, b) with those of facts (id, f) as fa and fb.
 
-    A document that stands in many pairs as ``a`` is a hub: its set is copied once for each of up to SALTS parts of its partners,
-    which spreads them over tasks, instead of all their sets meeting at the hub's.
+    A document that stands in many pairs as ``a`` is a hub: its facts are copied once for each of up to SALTS parts of its partners,
+    which spreads them over tasks, instead of all theirs meeting at the hub's.
     """
-    some = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(arrow_map(within(texts, some, "id", "left_semi"), _packed(k), "id long, grams array<long>"), "grams")
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("part"))
-    left = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    right = dealt.select("a", "part").distinct().join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a")
-    both = F.size(F.array_intersect("ga", "gb")).cast("long")
-    reach = both * 1_000_000 >= math.floor(threshold * 1_000_000) * (F.size("ga") + F.size("gb") - both)
-    out = stored(dealt.join(left, "b").join(right, ["a", "part"]).where(reach).select("a", "b"), "linked")
+    right = dealt.select("a", "part").distinct().join(facts.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a")
+    return dealt.join(facts.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b").join(right, ["a", "part"]).drop("part")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _promising(pairs: DataFrame, postings: DataFrame, threshold: float) -> DataFrame:
+    """Those (a, b) of pairs, distinct, that share as many postings of their whole prefixes as two documents need to link: what the prefixes
+    do not show lies behind the one that ends first."""
+    fact = F.struct(F.first("n").alias("n"), F.first("l").alias("l"), F.collect_list("gram").alias("grams")).alias("f")
+    facts = postings.join(_ids(pairs), "id", "left_semi").groupBy("id").agg(fact)
+    both = _with_facts(pairs, facts)
+    n = F.col("fa.n"), F.col("fb.n")
+    alpha = F.ceil(F.greatest((n[0] + n[1]) * _alike(threshold), F.greatest(*n) * threshold) - 1e-6)
+    behind = F.greatest(*(F.ceil(F.col(f"{f}.n") * threshold - 1e-6) - F.col(f"{f}.l") for f in ("fa", "fb")))
+    return both.where(F.size(F.array_intersect("fa.grams", "fb.grams")) >= alpha - behind).select("a", "b")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Those (a, b) of pairs, distinct ids, whose whole sets reach the threshold; stored."""
+    sets = stored(arrow_map(within(texts, _ids(pairs), "id", "left_semi"), _packed(k), "id long, f array<long>"), "grams")
+    both = F.size(F.array_intersect("fa", "fb")).cast("long")
+    reach = both * 1_000_000 >= math.floor(threshold * 1_000_000) * (F.size("fa") + F.size("fb") - both)
+    out = stored(_with_facts(pairs, sets).where(reach).select("a", "b"), "linked")
     discard(sets)
     return out
 
 
+def _join_edges(batches):
+    """Arrow function over all edges (u, v): (id, least id of its component)."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        top = x
+        while above[top] != top:
+            top = above[top]
+        while above[x] != top:
+            above[x], x = top, above[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            above.setdefault(u, u)
+            above.setdefault(v, v)
+            a, b = root(u), root(v)
+            above[max(a, b)] = min(a, b)
+    ids = list(above)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "root"])
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 60) -> DataFrame:
     """(id, root): the least id reachable over the edges (a, b), for every id that stands in one; stored.
 
-    Alternating large-star and small-star rounds; each is written to the shared folder.  The edges never outnumber the first ones.
-    A node's least neighbour comes back to its edges by SALTS parts of them, so that a node of many edges is no task's alone.
+    Up to FEW_EDGES edges are joined by one task, which spares a dozen jobs.  More take alternating large-star and small-star rounds; each is
+    written to the shared folder, and the edges never outnumber the first ones.  A node's least neighbour comes back to its edges
+    by SALTS parts of them, so that a node of many edges is no task's alone.
     """
 
     def spread(rows: DataFrame, least: DataFrame) -> DataFrame:
@@ -191,6 +236,10 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
         return dealt.join(parts, ["u", "part"]).drop("part")
 
     edges = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), name)
+    if edges.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+        out = stored(arrow_map(edges.coalesce(1), _join_edges, "id long, root long"), name)
+        discard(edges)
+        return out
     for _ in range(rounds):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -308,7 +357,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Postings of shingles that stand in several prefixes.  Frequent shingles are known to; only the others have to meet
     # for that, so that no group in the window is large.  ``at``: place in the document's order.
     head = ("id", "n", "l", "common")
-    rare = prefixes.select(*head, F.posexplode("rare").alias("at", "gram")).withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1").drop("df")
+    rare = prefixes.select("id", F.posexplode("rare").alias("at", "gram")).withColumn("df", F.count("*").over(Window.partitionBy("gram"))).where("df > 1").drop("df")
+    rare = rare.join(prefixes.select(*head), "id").select(*head, "at", "gram")
     often = prefixes.select(*head, F.size("rare").alias("r"), F.posexplode("known").alias("k", "gram")).select(*head, (F.col("r") + F.col("k")).alias("at"), "gram")
     postings = stored(rare.unionByName(often), "postings")
     discard(prefixes)
@@ -317,7 +367,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     forest, trees, open_, across = [], None, postings.withColumn("tree", F.col("id")), None
     total, left = postings.count(), None
     for turn in range(STAR_TURNS):
-        tried = stored(_stars(open_, threshold, turn), "stars")
+        tried = stored(_promising(_stars(open_, threshold, turn), postings, threshold), "stars")
         forest.append(_linked(tried, own, words, threshold))
         discard(tried)
         if trees is not None:
@@ -340,7 +390,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     larger = (F.struct("n_a", "id_a") < F.struct("n_b", "id_b"))  # the side 0 of a pair is the smaller
     once = F.when(F.col("side_a") == 0, larger).otherwise(~larger) & (F.col("side_a") != F.col("side_b")) & (F.col("tree_a") != F.col("tree_b"))
     met = both.where(once).where(_reach("a", "b", threshold)).select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), F.least("l_a", "l_b").alias("l"), "gram").distinct()
-    pairs = stored(_enough(met).select("a", "b"), "pairs")
+    able = stored(_enough(met).select("a", "b"), "able")
+    pairs = stored(_promising(able, postings, threshold), "pairs")
     forest.append(_linked(pairs, own, words, threshold))
 
     # An id whose rows hold several sets joins their classes.
@@ -352,7 +403,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = members.join(found, ["rep", "part"]).select("id", "n", F.col("root").alias("component_id"))
     others = rows.where("not (n > 0 and id is not null)").select("id", "n", F.col("id").alias("component_id"))
     out = stored(placed.unionByName(others).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id"), "groups")
-    for table in (seen, classes, members, copies, postings, trees, open_, across, pairs, roots, *forest):
+    for table in (seen, classes, members, copies, postings, trees, open_, across, able, pairs, roots, *forest):
         discard(table)
     return out
 
@@ -365,6 +416,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     groups = ngram_jaccard_join(docs, id_col, text_col, **params)
     gone = stored(groups.where(F.col(id_col) > F.col("component_id")).select(id_col).distinct(), "copies")
+    discard(groups)
     kept = within(docs, gone, id_col, "left_anti")
     worded = F.col(id_col).isNotNull() & F.col(text_col).rlike(r"[^\x20\x09-\x0D]")
     key = [F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__text")]

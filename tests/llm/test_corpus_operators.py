@@ -78,6 +78,62 @@ def test_ngram_join_against_brute_force(spark):
     assert out == brute_groups(rows)
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(ngram_join, "FEW_EDGES", few)
+    rng = random.Random(14)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, 1000 + k) for k in range(200)] + [(2000 + k, 2001 + k) for k in range(60)] + [(5, 5)]
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for a in sorted(near):
+        todo = [] if a in want else [a]
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want[x] = a
+                todo += near[x]
+    got = {r.id: r.root for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == want
+
+
+def test_large_group_of_near_copies(spark):
+    """2,000 copies of one text with words of their own: some link to it, some only to each other, some to none."""
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 2001):
+        w = list(base)
+        for at in rng.sample(range(80), rng.choice([1, 2, 3, 4, 6])):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    for k in range(2001, 2041):  # near copies of copies
+        w = rows[rng.randrange(1, 2001)][1].split()
+        w[rng.randrange(80)] = "y"
+        rows.append((k, " ".join(w)))
+    out = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_jaccard_join(docs(spark, rows)).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(76)} for _, t in rows]
+    first = sorted(sets[0])
+    has = np.array([[g in x for g in first] for x in sets], np.int32)
+    shared, where = has @ has.T, collections.defaultdict(list)
+    for i, x in enumerate(sets):
+        for g in x - sets[0]:
+            where[g].append(i)
+    for own in where.values():  # shingles that are not the first text's stand in few texts
+        for i in own:
+            shared[i, own] += 1
+    size = np.array(list(map(len, sets)))
+    link = 100 * shared >= 75 * (size[:, None] + size[None, :] - shared)
+    root = np.arange(len(sets))
+    for _ in range(20):
+        root = np.where(link, root[None, :], len(sets)).min(1)
+    assert {i: r for i, (_, r) in out.items()} == dict(enumerate(root.tolist())) and {n for n, _ in out.values()} == set(size.tolist())
+    assert 700 < (root == 0).sum() < 1500 and len(set(root.tolist())) > 500
+
+
 def test_ngram_join_edges(spark):
     out = ngram_join.ngram_jaccard_join(docs(spark, EDGE)).collect()
     got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out)
@@ -150,6 +206,18 @@ def test_secrets_against_regexes():
         assert [s for s in scan.spans(t.encode()) if s[0] in secrets.BASE_KINDS] == brute_secrets(t)
 
 
+def test_long_runs_of_digits_take_little_memory():
+    import tracemalloc
+
+    scan, run = secrets.scanner(secrets.RULES), "0123456789abcdef" * 20_000
+    tracemalloc.start()
+    spans = scan.spans((run + " " + run[:30] + "\ntoken=" + run).encode())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = len(run)
+    assert spans == [("hex", 0, n), ("hex", n + 1, n + 31), ("assign", n + 32, 2 * n + 38), ("hex", n + 38, 2 * n + 38)] and peak < 10 * n
+
+
 def test_more_secret_kinds_and_redaction():
     t = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1" * 20 + " xoxb-1234567890ab"
     spans = secrets.scanner(secrets.RULES).spans(t.encode())

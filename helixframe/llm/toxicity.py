@@ -1,16 +1,18 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-Each word step has four inputs: the word's evidence, the strongest and the mean evidence of its character 5- and 6-grams
-(word edges included), and its length.  A word of more than LONG bytes, such as a sentence of a script without spaces, is
-several steps, and no gram of it is left out.  Evidence is the signed root of the
+Each word step has as inputs a learned embedding of the word, the mean of learned embeddings of its character 5- and 6-grams
+(word edges included), the word's evidence, the strongest and the mean evidence of these grams, and its length.  A word of more than
+LONG bytes, such as a sentence of a script without spaces, is several steps, and no gram of it is left out.  Evidence is the signed root of the
 likelihood-ratio statistic of a hashed word or character gram between toxic and clean training texts.  A gated recurrent layer reads each window in both directions, attention pools its states, and a logistic unit
 scores it.  Windows of WINDOW words start every STRIDE words, so that each passage of up to WINDOW - STRIDE words stands whole in one; the text's score is its largest window
-score.  Everything is trained in numpy on the driver by back-propagation through time, on a bounded sample of labelled
-rows (``per_class`` of each label, those of least id hash); evidence for a training text comes from the other folds, so that
-the network does not learn to trust words seen once.
-
-Null, empty and wordless texts are one window without words.  Without labelled rows of both kinds, evidence and weights
-stay as initialised and every score is about 0.5 or lower.  Rows with a null id are scored and count as not held out.
+score.  Everything, embeddings included, is trained in numpy on the driver by back-propagation through time, on a bounded sample of labelled
+rows (``per_class`` of each label, those of least id hash); evidence for a training text comes from the other folds, and half of the training windows
+go without embeddings, so that the network does not learn to trust words seen once.  Words and grams of fewer than SEEN training texts have no embedding.
+
+Null, empty and wordless texts are one window without words.  Texts of any length are read whole, in pieces; equal texts have equal
+scores, so repeated rows repeat their result; a score of exactly the threshold counts as toxic.  Without labelled rows of both kinds,
+evidence and weights stay as initialised and every score is about 0.5 or lower.  Rows with a null id are scored and count as not held out.
+An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +25,11 @@ from pyspark.sql import functions as F
 from .common import ALNUM_SEP_LUT, Words, _hash_spans, arrow_map, crc_mod5, mix64, pieces, texts_of
 
 WINDOW, STRIDE = 64, 32
-INPUTS, HIDDEN = 4, 8
-BITS = 21
+#: Inputs that are evidence or length, numbers of an embedding, all inputs of a step, and numbers of a state.
+GIVEN, EMBED, HIDDEN = 4, 6, 8
+INPUTS = GIVEN + 2 * EMBED
+#: Bits of the bucket of a word or gram for its evidence, and for its embedding (the first of them); training texts that an embedded one stands in.
+BITS, EMBED_BITS, SEEN = 21, 16, 5
 #: Bytes of a step: a longer word, or a run of a script without spaces, is several steps.
 LONG = 40
 #: Bytes whose grams are expanded at once.
@@ -105,16 +110,38 @@ class Steps(Words):
             low = high
 
 
-def _inputs(s: Steps, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Inputs of each distinct step."""
-    x = np.zeros((len(s.distinct), INPUTS), np.float32)
-    x[:, 0] = words[s.buckets()]
+def _grams_of(s: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the grams of all distinct steps, by step, and where those of each step begin."""
+    parts = [(g, o) for g, o in s.grams()]
+    gram = np.concatenate([np.empty(0, np.uint64), *(g for g, _ in parts)])
+    owner = np.concatenate([np.empty(0, np.int64), *(o for _, o in parts)])
+    order = np.argsort(owner, kind="stable")
+    return gram[order], np.searchsorted(owner[order], np.arange(len(s.distinct) + 1))
+
+
+def _given(s: Steps, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Evidence and length of each distinct step."""
+    return _inputs(s, {"words": words, "grams": grams, "word_vectors": None})
+
+
+def _inputs(s: Steps, model: dict) -> np.ndarray:
+    """Inputs of each distinct step; without embeddings where the model has none."""
+    embedded = model["word_vectors"] is not None
+    x = np.zeros((len(s.distinct), INPUTS if embedded else GIVEN), np.float32)
+    buckets = s.buckets()
+    x[:, 0] = model["words"][buckets]
+    if embedded:
+        x[:, GIVEN : GIVEN + EMBED] = model["word_vectors"][buckets >> np.uint64(BITS - EMBED_BITS)]
     for gram, owner in s.grams():
         order = np.argsort(owner, kind="stable")
-        value, at = grams[gram[order]], np.flatnonzero(np.diff(owner[order], prepend=-1))
-        has = owner[order][at]
-        x[has, 1] = np.maximum.reduceat(value, at) if len(at) else 0
-        x[has, 2] = np.add.reduceat(value, at) / np.diff(np.append(at, len(value))) if len(at) else 0
+        gram, owner = gram[order], owner[order]
+        at = np.flatnonzero(np.diff(owner, prepend=-1))
+        if len(at):
+            has, n = owner[at], np.diff(np.append(at, len(owner)))
+            value = model["grams"][gram]
+            x[has, 1], x[has, 2] = np.maximum.reduceat(value, at), np.add.reduceat(value, at) / n
+            if embedded:
+                x[has, GIVEN + EMBED :] = np.add.reduceat(model["gram_vectors"][gram >> np.uint64(BITS - EMBED_BITS)], at) / n[:, None]
     x[:, 3] = np.log1p((s.ends - s.starts)[s.distinct]) / 3
     return x
 
@@ -168,10 +195,12 @@ class BiGru:
         return (logit, both, alpha, pooled, tape) if keep else logit
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the weights, and of the inputs under the name "inputs"."""
         w, h = self.w, HIDDEN
         logit, both, alpha, pooled, tape = self.forward(x, mask, keep=True)
         err = ((_sigmoid(logit) - y) * weight / weight.sum()).astype(np.float32)
         g = {k: np.zeros_like(v) for k, v in w.items()}
+        g["inputs"] = np.zeros_like(x)
         g["o"], g["c"][0] = pooled.T @ err, err.sum()
         dpool = err[:, None] * w["o"]
         dalpha = (both * dpool).sum(2)
@@ -188,6 +217,7 @@ class BiGru:
                 pre = np.concatenate([dz * zz * (1 - zz), dnew * rec * r * (1 - r), dnew], 1)
                 drec = np.concatenate([pre[:, : 2 * h], dnew * r], 1)
                 g["x"][d] += x[t].T @ pre
+                g["inputs"][t] += pre @ w["x"][d].T
                 g["b"][d] += pre.sum(0)
                 g["h"][d] += was.T @ drec
                 carry = dh * (1 - z) + drec @ w["h"][d].T
@@ -222,35 +252,62 @@ def train(texts: list[bytes], toxic: np.ndarray, folds: int = 3, steps: int = 24
             counts[fold[i], 0, y[i], np.unique(table.buckets())] += 1
             counts[fold[i], 1, y[i], np.unique(np.concatenate([np.empty(0, np.uint64), *(np.unique(gram) for gram, _ in table.grams())]))] += 1
     n = np.array([[np.sum((fold == f) & (y == c)) for c in (0, 1)] for f in range(folds)], np.float64)
-    model = {"words": _evidence(counts[:, 0].sum(0, dtype=np.uint32), n.sum(0)), "grams": _evidence(counts[:, 1].sum(0, dtype=np.uint32), n.sum(0)), "net": net.w}
+    g = np.random.default_rng(seed)
+    known = [(counts[:, part].sum((0, 1), dtype=np.uint32).reshape(1 << EMBED_BITS, -1).sum(1) >= SEEN).astype(np.float32) for part in (0, 1)]
+    vectors = [(g.normal(0, 0.03, (1 << EMBED_BITS, EMBED)) * k[:, None]).astype(np.float32) for k in known]
+    model = {
+        "words": _evidence(counts[:, 0].sum(0, dtype=np.uint32), n.sum(0)), "grams": _evidence(counts[:, 1].sum(0, dtype=np.uint32), n.sum(0)), "net": net.w,
+        "word_vectors": vectors[0], "gram_vectors": vectors[1],
+    }
     if len(set(y.tolist())) < 2:
         return model
-    xs, ms, ys = [], [], []
-    g = np.random.default_rng(seed)
+    xs, ms, ys, word_at, gram_at, step_at = [], [], [], [], [], []  # of each window: given inputs, mask, label, buckets of its words, and of its grams with their steps
     for f in range(folds):
         others = [k for k in range(folds) if k != f]
         ev = [_evidence(counts[others, part].sum(0, dtype=np.uint32), n[others].sum(0)) for part in (0, 1)]
         for i in np.flatnonzero(fold == f):
             if not len(tables[i].hash):
                 continue
-            x = _inputs(tables[i], *ev)[tables[i].rows]
+            rows = tables[i].rows
+            x = _given(tables[i], *ev)[rows]
+            words, (grams, first) = tables[i].buckets() >> np.uint64(BITS - EMBED_BITS), _grams_of(tables[i])
             at = windows_of(len(x))
             best = [float(np.sort(x[a : a + WINDOW, :2].max(1))[-3:].sum()) for a in at]
             picks = {int(at[int(np.argmax(best))])}
             if not y[i]:
                 picks.add(int(g.choice(at)))
             for a in picks:
-                piece = x[a : a + WINDOW]
+                piece, own = x[a : a + WINDOW], rows[a : a + WINDOW]
+                many = np.diff(first)[own]
+                place = np.repeat(first[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
                 xs.append(np.pad(piece, ((0, WINDOW - len(piece)), (0, 0))))
                 ms.append(np.arange(WINDOW) < len(piece))
                 ys.append(y[i])
-    x, m, yy = np.stack(xs).astype(np.float32), np.stack(ms).astype(np.float32), np.array(ys, np.float32)
+                word_at.append(np.pad(words[own].astype(np.int32), (0, WINDOW - len(piece))))
+                gram_at.append((grams[place] >> np.uint64(BITS - EMBED_BITS)).astype(np.int32))
+                step_at.append(np.repeat(np.arange(len(own)), many).astype(np.int32))
+    del tables, counts
+    x, m, yy, word_at = np.stack(xs).astype(np.float32), np.stack(ms).astype(np.float32), np.array(ys, np.float32), np.stack(word_at)
     weight = np.where(yy > 0, 0.25 / max(yy.sum(), 1), 0.75 / max((1 - yy).sum(), 1)).astype(np.float32)
     first, second = ({k: np.zeros_like(v) for k, v in net.w.items()} for _ in range(2))
+    squares = [np.full_like(v, 1e-4) for v in vectors]
     for step in range(1, steps + 1):
         pick = g.choice(len(yy), min(batch, len(yy)), replace=False)
-        grads = net.gradients(x[pick].transpose(1, 0, 2), m[pick].T, yy[pick], weight[pick])
         rate = 0.02 * (1 if step < steps * 0.7 else 0.3)
+        used = (g.random(len(pick)) < 0.5).astype(np.float32)[:, None, None]
+        gram = np.concatenate([gram_at[i] for i in pick])
+        owner = np.concatenate([step_at[i] + WINDOW * k for k, i in enumerate(pick)])
+        many = np.maximum(np.bincount(owner, minlength=len(pick) * WINDOW), 1).astype(np.float32)
+        mean = _by_row(owner, vectors[1][gram], len(many)) / many[:, None]
+        full = np.concatenate([x[pick], vectors[0][word_at[pick]] * used, mean.reshape(len(pick), WINDOW, EMBED) * used], 2)
+        grads = net.gradients(full.transpose(1, 0, 2), m[pick].T, yy[pick], weight[pick])
+        back = grads.pop("inputs").transpose(1, 0, 2)[:, :, GIVEN:] * used
+        into = (back[:, :, :EMBED].reshape(-1, EMBED), (back[:, :, EMBED:].reshape(-1, EMBED) / many[:, None])[owner])
+        for table, square, seen, bucket, grad in zip(vectors, squares, known, (word_at[pick].ravel(), gram), into, strict=True):
+            at, place = np.unique(bucket, return_inverse=True)
+            total = _by_row(place, grad, len(at)) * seen[at][:, None]
+            square[at] += total * total
+            table[at] -= 0.1 * rate * total / np.sqrt(square[at])
         for k, v in grads.items():
             first[k] = 0.9 * first[k] + 0.1 * v
             second[k] = 0.99 * second[k] + 0.01 * v * v
@@ -259,6 +316,11 @@ def train(texts: list[bytes], toxic: np.ndarray, folds: int = 3, steps: int = 24
     return model
 
 
+def _by_row(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of values by row number."""
+    return np.stack([np.bincount(row, values[:, k], minlength=n) for k in range(values.shape[1])], 1).astype(np.float32)
+
+
 def score(model: dict, texts: list[bytes]) -> np.ndarray:
     """Score of each text: its largest window score."""
     net = BiGru()
@@ -273,7 +335,7 @@ def score(model: dict, texts: list[bytes]) -> np.ndarray:
             ends.append(np.minimum(at + WINDOW, w.first[t] + w.n[t]))
             owner.append(np.full(len(at), i + t))
         start, end, owner = np.concatenate(starts), np.concatenate(ends), np.concatenate(owner)
-        x = np.concatenate([_inputs(w, model["words"], model["grams"])[w.rows], np.zeros((1, INPUTS), np.float32)])
+        x = np.concatenate([_inputs(w, model)[w.rows], np.zeros((1, INPUTS), np.float32)])
         order = np.argsort(end - start, kind="stable")
         for k in range(0, len(order), BATCH):
             pick = order[k : k + BATCH]
@@ -286,11 +348,16 @@ def score(model: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of at most per_class rows of each label, those of least id hash; rows held out (crc32 of the id modulo 5 is 0) never."""
+    """Texts and labels of at most per_class ids of each label, those of least id hash; rows held out (crc32 of the id modulo 5 is 0) never.
+
+    An id with both labels counts as 1, one with several texts gives the least, so that repeated rows add nothing.  The texts come to the driver
+    whole: 2 * per_class of them, whatever the size of the table.
+    """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (crc_mod5(F.col("id")) != 0))
     parts = [rows.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(per_class) for c in (0, 1)]
-    picked = parts[0].unionByName(parts[1]).dropDuplicates(["id"])
-    found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "id").orderBy(F.xxhash64("id"), "id").toPandas()
+    picked = parts[0].unionByName(parts[1]).groupBy("id").agg(F.max("y").alias("y"))
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    found = texts.groupBy("id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy(F.xxhash64("id"), "id").toPandas()
     return [t.encode() for t in found["text"]], found["y"].to_numpy(np.int64)
 
 

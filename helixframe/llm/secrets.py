@@ -5,8 +5,9 @@ minimisation turn into transition arrays over byte classes.  One pass over a tex
 which positions a match of which rule starts.  From these starts, each rule's own small automaton finds the longest end;
 matches of a kind are taken leftmost and without overlap, and those under the kind's least length are dropped.  A private key's span goes on to its END line, or over its lines if it has none.
 
-Null and empty texts have no spans.  Spans count code points, end exclusive, ordered by start and then by kind as listed.
-Texts of any length are scanned whole; repeated rows give repeated results; other columns are ignored or kept.
+Null and empty texts have no spans.  Spans count code points, end exclusive, ordered by start and then by kind as listed, also where
+several start at one place.  Texts of any length are scanned whole, in memory of a few times their size also where every byte starts a
+match; repeated rows give repeated results; an empty table gives no rows; other columns are ignored or kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -257,27 +258,35 @@ class Scanner:
     def byte_spans(self, text: bytes) -> list[tuple[int, int, int]]:
         """(start, rule, end) in bytes, in order."""
         d = self.starts
-        table, first, s, hits = d.table, d.accepting, d.start, []
+        table, first, s = d.table, d.accepting, d.start
+        starts = [m for m in d.mask for _ in range(d.width)]  # rule bits by state
+        runs: list[list[int]] = []  # [first, last, rule bits] of neighbouring places where the same rules' matches start: a long run of digits is one
+        held = 0
         for i, c in enumerate(text.translate(d.classes)[::-1], 1):
             s = table[s + c]
             if s >= first:
-                hits.append((i, s))
-        if not hits:
-            return []
-        n, width, out, busy = len(text), d.width, [], [0] * len(self.rules)
-        for i, s in reversed(hits):
-            at, bits, k = n - i, d.mask[s // width], 0
-            while bits:
-                if bits & 1 and at >= busy[k]:
-                    end, rule = self.match[k].longest(text, at), self.rules[k]
-                    body = self.head[k].longest(text, at) if self.head[k] else at
-                    if end - at >= rule.least and end - body >= rule.least_body:
-                        if self.tail[k]:
-                            end = self.tail[k].match(text, end).end()
-                        out.append((at, k, end))
-                    busy[k] = end
-                bits >>= 1
-                k += 1
+                if starts[s] == held:
+                    runs[-1][1] = i
+                else:
+                    held = starts[s]
+                    runs.append([i, i, held])
+            elif held:
+                held = 0
+        n, out, busy = len(text), [], [0] * len(self.rules)
+        for last, start, mask in reversed(runs):
+            own = [k for k in range(len(self.rules)) if mask >> k & 1]
+            at, stop = n - start, n - last
+            while at <= stop:
+                for k in own:
+                    if at >= busy[k]:
+                        end, rule = self.match[k].longest(text, at), self.rules[k]
+                        body = self.head[k].longest(text, at) if self.head[k] else at
+                        if end - at >= rule.least and end - body >= rule.least_body:
+                            if self.tail[k]:
+                                end = self.tail[k].match(text, end).end()
+                            out.append((at, k, end))
+                        busy[k] = end
+                at = max(at + 1, min(busy[k] for k in own))  # up to there every rule is inside a match
         return out
 
     def spans(self, text: bytes) -> list[tuple[str, int, int]]:

@@ -8,7 +8,8 @@ verified: all mandatory key phrases must stand at their places.  Its confidence
 template's words that stand in place; a file's score is the largest confidence.
 
 Words are runs of digits, a-z and bytes from 0x80 on, after lower-casing A-Z.  Null and empty texts have no words and no
-labels and score 0.  Matches never cross texts; texts are scanned whole; other columns are ignored.
+labels and score 0.  Matches never cross texts; texts of any length are scanned whole.  Labels that tie in a place all count, each once;
+repeated rows repeat their result (and count each for the document frequencies); an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

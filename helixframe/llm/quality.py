@@ -2,11 +2,12 @@
 
 score = sigmoid(w0 + sum_i w_i x_i + sum_i<j <v_i, v_j> x_i x_j).  The pairwise term is computed in linear time as
 (|sum_i v_i x_i|^2 - sum_i |v_i|^2 x_i^2) / 2.  Word features are log counts over the text's distinct hashed words, scaled to unit
-length; structure statistics and the length (the metadata) are one-hot bins.  Weights are trained in numpy by AdaGrad on a
+length; structure statistics and the length (the only metadata that may be an input) are one-hot bins.  Weights are trained in numpy by AdaGrad on a
 bounded sample of labelled rows (``per_class`` of each label, those of least id hash).
 
-Null and empty texts have structure features only.  Without labelled rows of both kinds every score is the sigmoid of the
-prior.  Rows with a null id are scored and count as not held out.
+Null and empty texts have structure features only.  Texts of any length are read whole, in pieces.  Equal texts have equal scores, so
+repeated rows repeat their result; a score of exactly the threshold counts as good.  Without labelled rows of both kinds every score is the sigmoid of the
+prior.  Rows with a null id are scored and count as not held out.  An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -18,6 +18,7 @@ row may hold.  An empty table gives no conversations.  Columns other than the na
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,29 +50,35 @@ def _at(left: str, place: str, right: str) -> Column:
     return F.expr(f"{left}.tree <=> {right}.tree and {left}.{place} = {right}.node")
 
 
-def climb(nodes: DataFrame) -> list[DataFrame]:
-    """Tables (tree, node, over, total), stored: after round k, over is the 2^k-th ancestor, null beyond the root, and total the score of the nodes below it.
+def climb(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+    """(steps, ends, tables): steps[k] (tree, node, over, total) of the nodes that have a 2^k-th ancestor, over; ends (tree, node, total) of the nodes
+    that reach a root, with the score of all nodes on the way; and the stored tables that both read.
 
-    In the last one, nodes that reach a root have none.  nodes: (tree, node, parent, score), one row for each node.
+    A node leaves the rounds once it has reached its root, so a round joins only the nodes deeper than the one before.
+    nodes: (tree, node, parent, score), one row for each node.
     """
     known = nodes.select("tree", "node")
     first = nodes.alias("n").join(known.alias("p"), _at("n", "parent", "p"), "left").select("n.tree", "n.node", F.col("p.node").alias("over"), F.col("score").alias("total"))
-    found = [stored(first, "climb")]
-    left = found[0].where("over is not null").count()
+    tables = [stored(first, "climb")]
+    steps, ends, open_ = [], [tables[0].where("over is null")], tables[0].where("over is not null")
+    left = open_.count()
     most = math.ceil(math.log2(left + 2)) + 1  # beyond, only cycles are left
-    while left and len(found) <= most:
-        low, high = found[-1].alias("x"), found[-1].alias("y")
-        found.append(stored(low.join(high, _at("x", "over", "y"), "left").select("x.tree", "x.node", "y.over", (F.col("x.total") + F.coalesce("y.total", F.lit(0.0))).alias("total")), "climb"))
-        left = found[-1].where("over is not null").count()
-    return found
+    while left and len(steps) <= most:
+        steps.append(open_)
+        low, high = open_.alias("x"), reduce(DataFrame.unionByName, [open_, *ends]).alias("y")
+        tables.append(stored(low.join(high, _at("x", "over", "y")).select("x.tree", "x.node", "y.over", (F.col("x.total") + F.col("y.total")).alias("total")), "climb"))
+        ends.append(tables[-1].where("over is null"))
+        open_ = tables[-1].where("over is not null")
+        left = open_.count()
+    return steps, reduce(DataFrame.unionByName, ends).drop("over"), tables
 
 
-def paths(leaves: DataFrame, climbed: list[DataFrame]) -> DataFrame:
+def paths(leaves: DataFrame, steps: list[DataFrame]) -> DataFrame:
     """leaves (tree, leaf, ...) with node and up: the nodes of each one's way to the root with their distance from the leaf; stored."""
     held = [c for c in leaves.columns if c != "tree"]
     found = stored(leaves.withColumn("node", F.col("leaf")).withColumn("up", F.lit(0).cast("long")), "paths")
-    for k, step in enumerate(climbed[:-1]):
-        far = found.alias("a").join(step.where("over is not null").alias("j"), _at("a", "node", "j")).select("a.tree", *(f"a.{c}" for c in held), F.col("j.over").alias("node"), (F.col("a.up") + (1 << k)).alias("up"))
+    for k, step in enumerate(steps):
+        far = found.alias("a").join(step.alias("j"), _at("a", "node", "j")).select("a.tree", *(f"a.{c}" for c in held), F.col("j.over").alias("node"), (F.col("a.up") + (1 << k)).alias("up"))
         more = stored(found.unionByName(far), "paths")
         discard(found)
         found = more
@@ -85,13 +92,13 @@ def format_trees(nodes: DataFrame, branches: int | None = 1, loss_role: str = "a
     """
     slim = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.min(F.coalesce("score", F.lit(0.0))).alias("score"))
     slim = stored(slim.where("node is not null"), "nodes")
-    climbed = climb(slim)
+    ups, ends, tables = climb(slim)
     above = slim.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
-    leaves = climbed[-1].where("over is null").alias("n").join(above.alias("a"), _at("n", "node", "a"), "left_anti").select("tree", F.col("node").alias("leaf"), F.col("total").alias("score"))
+    leaves = ends.alias("n").join(above.alias("a"), _at("n", "node", "a"), "left_anti").select("tree", F.col("node").alias("leaf"), F.col("total").alias("score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))
     chosen = leaves.withColumn("rank", rank).where(F.col("rank") <= branches if branches is not None else F.lit(True))
-    steps = paths(chosen, climbed)
-    for table in (slim, *climbed):
+    steps = paths(chosen, ups)
+    for table in (slim, *tables):
         discard(table)
     small = steps.limit(BROADCAST_STEPS + 1).count() <= BROADCAST_STEPS
     placed = nodes.alias("n").join((F.broadcast(steps) if small else steps.hint("shuffle_merge")).alias("s"), _at("s", "node", "n"))

@@ -15,7 +15,7 @@ from ..functions import reads as R
 from ..functions import tags as X
 from ..functions import variants as V
 from ..operators import events, intervals, pileups, rewrites
-from ..sources import alignments, bam, bcf, bgzf, fasta, index, sam, vcf
+from ..sources import alignments, bam, bcf, bgzf, cram, fasta, index, sam, vcf
 from .registry import _SNV, _VCF_LINE, query
 from .synthetic import CHUNK, LAST_POS, REF_SQL, contigs, reads, reference
 
@@ -166,15 +166,59 @@ def src_header(spark, sf):
     return sam.header_contigs(lines).select("tid", "name", F.col("length").cast("int").alias("length"))
 
 
+def _cram(spark: SparkSession, sf: str, embed: bool = False) -> tuple[str, str]:
+    """A CRAM file of the mapped synthetic reads, 500 to a slice, and its reference; written by the driver from the small table."""
+    path, fasta_path, chunks = _scratch(spark) + ".cram", _fasta(spark, plain=True), reference(spark).orderBy("contig", "chunk_start").collect()
+    texts = ["".join(r["bases"] for r in chunks if r["contig"] == n) for n, _ in CONTIGS]
+    rows = _records(spark, sf).where("flags & 4 = 0").orderBy("tid", "pos", "read_id").select("tid", "flags", "pos", "end_pos", "mapq", "qname", "cigar", "seq", "qual", "rg", "next_tid", "next_pos", "template_len")
+    groups = ["rg0", "rg1", "rg2"]
+    methods = (cram.RAW, cram.GZIP, cram.BZIP2, cram.LZMA, cram.RANS)
+    with open(path, "wb") as f:
+        f.write(cram.file_start(HEADER + "".join(f"@RG\tID:{g}\n" for g in groups)))
+        held, counter = [], 0
+
+        def flush():
+            nonlocal counter
+            if held:
+                f.write(cram.encode_slice(held, held[0]["tid"], texts[held[0]["tid"]], counter, groups, methods[counter // 500 % len(methods)], embed))
+                counter += len(held)
+                held.clear()
+
+        for r in rows.toLocalIterator():
+            if held and (held[0]["tid"] != r["tid"] or len(held) == 500):
+                flush()
+            held.append(r.asDict() | {"cigar": [(o["op"], o["len"]) for o in r["cigar"]]})
+        flush()
+        f.write(cram.file_end())
+    return path, fasta_path
+
+
+_CRAM_COLUMNS = "qname, flags, contig, tid, pos, end_pos, mapq, cigar_text, seq, cast(list_sum(qual) as int) AS qual_sum, rg, cast(p % 100 as int) AS tlen"
+
+
+@query(f"SELECT {_CRAM_COLUMNS} FROM reads WHERE flags & 4 = 0".replace(" flags,", " flags & ~40 | flags & 40 AS flags,"))
+def src_cram(spark, sf):
+    path, fasta_path = _cram(spark, sf)
+    return _shown(cram.read_cram(spark, path, fasta_path)).drop("nm", "xf")
+
+
+@query("SELECT qname, flags, pos, cigar_text, seq FROM reads WHERE flags & 4 = 0 AND contig = 'chr2' AND pos <= 1500 AND end_pos >= 1200")
+def src_cram_region(spark, sf):
+    path, _ = _cram(spark, sf, embed=True)
+    return cram.read_cram(spark, path, None, "chr2", 1200, 1500).select("qname", "flags", "pos", R.cigar_format(F.col("cigar")).alias("cigar_text"), "seq")
+
+
 # --- reference
 
 
-def _fasta(spark: SparkSession, blocked: bool = False) -> str:
+def _fasta(spark: SparkSession, blocked: bool = False, plain: bool = False) -> str:
+    """A FASTA file of the reference with its .fai, with lower-case letters and other codes unless plain."""
     path, at, fai = _scratch(spark) + ".fa", 0, []
     rows = reference(spark).orderBy("contig", "chunk_start").collect()
     text = []
     for name, _ in CONTIGS:
-        bases = "".join(r["bases"] for r in rows if r["contig"] == name).replace("T", "t").replace("GA", "RA")
+        bases = "".join(r["bases"] for r in rows if r["contig"] == name)
+        bases = bases if plain else bases.replace("T", "t").replace("GA", "RA")
         head = f">{name} made\n"
         body = "".join(bases[k : k + LINE] + "\n" for k in range(0, len(bases), LINE))
         fai.append(f"{name}\t{len(bases)}\t{at + len(head)}\t{LINE}\t{LINE + 1}")

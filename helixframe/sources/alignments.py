@@ -6,11 +6,11 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bam, sam
+from . import bam, cram, sam
 
 
 def read_alignments(spark: SparkSession, path: str, **options) -> DataFrame:
-    """reads of SAM text (plain or gzip) or BAM.  A local path goes by its first bytes, any other by its name; CRAM is not decoded."""
+    """reads of SAM text (plain or gzip), BAM or CRAM (with reference=, a FASTA file).  A local path goes by its first bytes, any other by its name."""
     if os.path.isfile(path):
         kind = bam.detect(path)
     else:
@@ -19,4 +19,6 @@ def read_alignments(spark: SparkSession, path: str, **options) -> DataFrame:
         return bam.read_bam(spark, path, **options)
     if kind in ("sam", "sam.gz"):
         return sam.read_sam(spark, path, **options)
+    if kind == "cram":
+        return cram.read_cram(spark, path, **options)
     raise ValueError(f"{path!r} holds {kind}, not alignments that can be read")

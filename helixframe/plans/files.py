@@ -193,16 +193,18 @@ def _cram(spark: SparkSession, sf: str, embed: bool = False) -> tuple[str, str]:
     return path, fasta_path
 
 
-_CRAM_COLUMNS = "qname, flags, contig, tid, pos, end_pos, mapq, cigar_text, seq, cast(list_sum(qual) as int) AS qual_sum, rg, cast(p % 100 as int) AS tlen"
+#: The format does not tell two neighbouring M from one.
+_JOINED = "CASE WHEN i = 0 AND d = 0 AND n = 0 THEN CASE WHEN s > 0 THEN s || 'S' ELSE '' END || (m1 + m2) || 'M' ELSE cigar_text END AS cigar_text"
+_CRAM_COLUMNS = f"qname, flags, contig, tid, pos, end_pos, mapq, {_JOINED}, seq, cast(list_sum(qual) as int) AS qual_sum, rg, cast(p % 100 as int) AS tlen"
 
 
-@query(f"SELECT {_CRAM_COLUMNS} FROM reads WHERE flags & 4 = 0".replace(" flags,", " flags & ~40 | flags & 40 AS flags,"))
+@query(f"SELECT {_CRAM_COLUMNS} FROM reads WHERE flags & 4 = 0")
 def src_cram(spark, sf):
     path, fasta_path = _cram(spark, sf)
     return _shown(cram.read_cram(spark, path, fasta_path)).drop("nm", "xf")
 
 
-@query("SELECT qname, flags, pos, cigar_text, seq FROM reads WHERE flags & 4 = 0 AND contig = 'chr2' AND pos <= 1500 AND end_pos >= 1200")
+@query(f"SELECT qname, flags, pos, {_JOINED}, seq FROM reads WHERE flags & 4 = 0 AND contig = 'chr2' AND pos <= 1500 AND end_pos >= 1200")
 def src_cram_region(spark, sf):
     path, _ = _cram(spark, sf, embed=True)
     return cram.read_cram(spark, path, None, "chr2", 1200, 1500).select("qname", "flags", "pos", R.cigar_format(F.col("cigar")).alias("cigar_text"), "seq")

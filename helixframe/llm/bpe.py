@@ -38,7 +38,7 @@ from .common import arrow_map, texts_of
 #: Fixed value: the split pattern of byte-level tokenizers.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words, and pairs of labels, in each of the two tables that a worker keeps (the newer one takes the older one's place when it is full), and the longest such word.
-KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 250_000, 500_000, 48
+KEPT_WORDS, KEPT_PAIRS, KEPT_LENGTH = 125_000, 150_000, 48
 
 
 def byte_letters() -> list[str]:

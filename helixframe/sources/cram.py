@@ -317,7 +317,9 @@ def read_header(f) -> str:
         raise ValueError("not a CRAM file")
     if head[4] != 3:
         raise ValueError(f"CRAM version {head[4]}.{head[5]} is not decoded")
-    first = next(containers(f))
+    first = next(containers(f), None)
+    if first is None:
+        raise ValueError("a CRAM file without a container")
     f.seek(first.offset)
     block, _ = read_block(f.read(first.size), 0)
     f.seek(first.offset + first.size)

@@ -38,18 +38,59 @@ def genotype_text(alleles: Column, phased: Column) -> Column:
     return F.when(phased, F.array_join(parts, "|")).otherwise(F.array_join(parts, "/"))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _product_less(a: Column, b: Column, c: Column) -> Column:
+    """a * b - c with the sign that the exact value has, for a product near c: the product's rounding error is added back."""
+
+    def halves(x):
+        big = x * 134217729.0
+        high = big - (big - x)
+        return high, x - high
+
+    (ah, al), (bh, bl), p = halves(a), halves(b), a * b
+    return (p - c) + (((ah * bh - p) + ah * bl + al * bh) + al * bl)
+
+
+def _exact_digits(v: Column) -> Column:
+    """The six digits and the power of v (size, number, power), whose number is the shortest decimal's, rounded half up: one too many where the value is below the middle, or in it and the digit odd."""
+    carried = v["number"] == 100_000
+    scale, middle = 5 - v["power"] + carried.cast("int"), F.when(carried, 999_999.5).otherwise(v["number"] - 0.5)
+    over = F.when(scale.between(0, 22), _product_less(v["size"], F.pow(F.lit(10.0), scale), middle))
+
+    def rounded(over):
+        less = F.coalesce((over < 0) | ((over == 0) & ~carried & (v["number"] % 2 == 1)), F.lit(False))
+        digits = F.when(less & carried, 999_999).when(less, v["number"] - 1).otherwise(v["number"])
+        return F.struct(digits.cast("string").alias("digits"), (v["power"] - (less & carried).cast("int")).alias("power"))
+
+    return _let(over, rounded)
+
+
 def float_text(x: Column) -> Column:
-    """Six significant digits in fixed notation without trailing zeros; never an exponent."""
+    """Six significant digits in fixed notation without trailing zeros; never an exponent.
+
+    Rounded by the exact value, ties to the even digit (below 1e-17 by the shortest decimal, ties up).
+    """
     size = F.abs(x)
     # The six digits and the exponent of the scientific notation, the digits then shifted to their place.
-    scientific = F.format_string("%.5e", size)
-    digits, power = F.replace(F.substring_index(scientific, "e", 1), F.lit("."), F.lit("")), F.substring_index(scientific, "e", -1).cast("int")
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
-    middle = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
-    text = F.when(power < 0, small).when(power < 5, middle).otherwise(F.format_string("%.0f", size))
-    text = F.concat(F.when(x < 0, "-").otherwise(""), text)
-    stripped = F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
-    return F.when(x.isNull(), ".").when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0").otherwise(stripped)
+    parts = lambda s: F.struct(
+        size.alias("size"), F.replace(F.substring_index(s, "e", 1), F.lit("."), F.lit("")).try_cast("int").alias("number"), F.substring_index(s, "e", -1).try_cast("int").alias("power"))
+
+    def placed(v):
+        digits, power = v["digits"], v["power"]
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+        middle = F.concat(F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.lit(6)))
+        return F.when(power < 0, small).when(power < 5, middle).otherwise(F.format_string("%.0f", F.rint(size)))
+
+    def signed(text):
+        text = F.concat(F.when(x < 0, "-").otherwise(""), text)
+        return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
+
+    text = _let(_let(_let(_let(F.format_string("%.5e", size), parts), _exact_digits), placed), signed)
+    return F.when(x.isNull(), ".").when(F.isnan(x), "nan").when(size == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0").otherwise(text)
 
 
 def percent_encode(text: Column) -> Column:

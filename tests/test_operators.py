@@ -74,6 +74,18 @@ def test_float_text(spark, x, text):
     assert one(spark, V.float_text(F.lit(x).cast("double"))) == [text]
 
 
+def test_float_text_rounds_by_the_exact_value(spark):
+    """Ties such as 17 / 128 go to the even digit; decimals that no double holds go by what it holds."""
+    values = [n / d for d in (128, 256, 2048, 4096) for n in range(1, d, 7)] + [17 / 128, 100000.5 / 8, 12345.25 + 0.5, 99999.95, 9999.995, 0.9999995, 0.99999949999999, 123456.5, 123457.5]
+    values += [(2 * k + 1) / 2 * 10.0**-e for k in range(100_000, 999_999, 9_973) for e in range(1, 9)]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", V.float_text(F.col("x")).alias("t"), V.float_text(-F.col("x")).alias("minus")).collect()
+    for x, t, minus in rows:
+        scientific, power = f"{x:.5e}".split("e")
+        wanted = f"{float(scientific + 'e' + power):.{max(0, 5 - int(power))}f}" if int(power) < 5 else f"{x:.0f}"
+        wanted = wanted.rstrip("0").rstrip(".") if "." in wanted else wanted
+        assert (t, minus) == (wanted, "-" + wanted), x
+
+
 def test_percent_goes_first(spark):
     assert one(spark, V.percent_encode(F.lit("a%3A:;=,\t"))) == ["a%253A%3A%3B%3D%2C%09"]
 

@@ -44,6 +44,11 @@ def add_program(header: str, name: str, version: str = "", command: str = "") ->
     return header.rstrip("\n") + ("\n" if header else "") + "\t".join(fields) + "\n"
 
 
+def _once(*columns) -> F.Column:
+    """columns of a select, each computed once for a row: filters that follow read the results, where Spark would else compute the whole chain again in each filter."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def parse_sam(lines: DataFrame, contigs: DataFrame, keep_unmapped: bool = False, malformed: str = "drop") -> DataFrame:
     """reads of SAM record lines (value[, read_id]).  Unmapped reads, reads without a contig and those on unknown ones are dropped; carriage returns at line ends are.
 
@@ -52,18 +57,20 @@ def parse_sam(lines: DataFrame, contigs: DataFrame, keep_unmapped: bool = False,
     if malformed not in ("drop", "fail"):
         raise ValueError(f"malformed lines can be dropped or fail, not {malformed!r}")
     sound = lambda ok, what: ok if malformed == "drop" else F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("malformed record: "), what)))
-    f = F.split(F.regexp_replace("value", r"\r$", ""), "\t")
-    has_id = "read_id" in lines.columns
-    rows = lines.where((F.col("value") != "") & ~F.col("value").startswith("@")).select(*(["read_id"] if has_id else []), f.alias("f")).where(sound(F.size("f") >= 11, F.array_join("f", " ")))
+    held = ["read_id"] if "read_id" in lines.columns else []
+    rows = lines.select(*held, _once("value")).where((F.col("value") != "") & ~F.col("value").startswith("@"))
+    if not held:
+        rows = rows.withColumn("read_id", F.monotonically_increasing_id())
+    rows = rows.select("read_id", _once(F.split(F.regexp_replace("value", r"\r$", ""), "\t").alias("f"))).where(sound(F.size("f") >= 11, F.array_join("f", " ")))
     get = lambda k: F.get("f", F.lit(k))
-    seq = F.when(get(9) == "*", "").otherwise(R.normalize_bases(get(9)))
-    rows = rows.select(
-        *(["read_id"] if has_id else [F.monotonically_increasing_id().alias("read_id")]), get(0).alias("qname"), get(1).try_cast("int").alias("flags"), get(2).alias("contig"), (get(3).try_cast("int") - 1).alias("pos"),
+    rows = rows.select("read_id", _once(
+        get(0).alias("qname"), get(1).try_cast("int").alias("flags"), get(2).alias("contig"), (get(3).try_cast("int") - 1).alias("pos"),
         get(4).try_cast("int").alias("mapq"), R.cigar_parse(get(5)).alias("cigar"), F.when(get(6) == "=", get(2)).otherwise(get(6)).alias("next_contig"), (get(7).try_cast("int") - 1).alias("next_pos"),
-        get(8).try_cast("int").alias("template_len"), seq.alias("seq"), get(10).alias("q"), X.sam_tags(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0)))).alias("aux"),
-    )
+        get(8).try_cast("int").alias("template_len"), F.when(get(9) == "*", "").otherwise(R.normalize_bases(get(9))).alias("seq"), get(10).alias("q"),
+        X.sam_tags(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0)))).alias("aux"),
+    ))
     rows = rows.where(sound(F.expr("cigar is not null and flags is not null and pos is not null and mapq is not null"), F.col("qname"))).where("pos >= 0")
-    rows = rows.withColumn("qual", R.decode_quality(F.col("q"), F.length("seq"))).where(sound(F.expr("size(qual) = length(seq)"), F.col("qname"))).drop("q")
+    rows = rows.select("*", _once(R.decode_quality(F.col("q"), F.length("seq")).alias("qual"))).where(sound(F.expr("size(qual) = length(seq)"), F.col("qname"))).drop("q")
     if not keep_unmapped:
         rows = rows.where(~R.is_set(F.col("flags"), "unmapped"))
     rows = rows.where("contig != '*'").join(contigs.select(F.col("name").alias("contig"), "tid"), "contig")

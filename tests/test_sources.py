@@ -25,6 +25,14 @@ def reads(spark, tmp_path):
     return sam.read_sam(spark, str(tmp_path / "a.sam"))
 
 
+def test_lines_are_parsed_once(spark, small):
+    """Filters on parsed columns read them, rather than make and split the line again."""
+    from helixframe.plans.registry import QUERIES
+
+    plan = QUERIES["src_sam"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\r$") == 1 and plan.count("concat_ws(") == 1
+
+
 def test_sam(reads):
     rows = {(r.qname, r.pos): r for r in reads.collect()}
     assert set(rows) == {("r1", 99), ("r1", 39999), ("m1", 4)}

@@ -216,6 +216,11 @@ class Tokenizer:
             self.words[word] = found
         return found
 
+    def forget(self) -> None:
+        """Drops the words and pairs met so far: a worker lives on through other operators' tasks."""
+        for held in (self.words, self.older, self.auto.known, self.auto.older):
+            held.clear()
+
     def _plain(self, text: str) -> list[str]:
         known, out = self.words, []
         for word in self.split.findall(text):
@@ -303,6 +308,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             if ids:
                 made["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(made[n] for n in names)], names=[*batch.schema.names[:-1], *names])
+        tok.forget()
 
     for n in names:
         head = head.add(n, T.DataType.fromDDL(kinds[n][0]))

@@ -17,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a one-column id table is broadcast (about 16 MB as a hashed relation).
 BROADCAST_IDS = 500_000
 #: Bytes of an Arrow batch; a longer row is a batch of its own.
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 4 << 20
 
 
 def _splitmix(x: np.ndarray) -> np.ndarray:
@@ -70,7 +70,7 @@ class Words:
         self.first, self.n = bounds[:-1], np.diff(bounds)
 
 
-def _hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+def _hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 18) -> np.ndarray:
     """Multilinear hash of the byte spans [start, end) of ``buf``; ``step`` bytes are expanded at once."""
     out = np.empty(len(starts), np.uint64)
     i, n = 0, len(starts)
@@ -123,7 +123,7 @@ def texts_of(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(texts: list[bytes], limit: int = 4 << 20):
+def pieces(texts: list[bytes], limit: int = 1 << 20):
     """Index ranges of texts of about ``limit`` bytes together; a longer text stands alone."""
     i, n = 0, len(texts)
     while i < n:

@@ -685,3 +685,22 @@ def test_chat_round_trip(spark):
     assert {c: [x[1:3] for x in sorted(v)] for c, v in back.items()} == dict(want)
     assert all((learned is not None) == (role == "assistant") and learned in (None, text) for v in back.values() for _, role, text, learned in v)
     assert chat.format_trees(chat.chain(df.limit(0), "conv_id", "turn", "role", "text")).count() == 0
+
+
+def test_a_worker_keeps_little_memory(spark):
+    """Workers of all stages of the pipeline share an executor: short-lived arrays stay far below the 12 MB of text, and no words stay after a task."""
+    import tracemalloc
+
+    g = np.random.default_rng(5)
+    texts = [b" ".join(b"%d" % x for x in g.integers(0, 50_000, 2000)) for _ in range(1000)]
+    model = {"w0": 0.0, "w": np.zeros((1 << quality.BITS) + quality.STATS * quality.BINS, np.float32), "v": np.zeros(((1 << quality.BITS) + quality.STATS * quality.BINS, quality.RANK), np.float32)}
+    tracemalloc.start()
+    quality.score(model, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 11 << 20 and peak < 64 << 20
+    with open(vocabulary_path(), encoding="utf-8") as f:
+        tok = bpe.Tokenizer(f.read())
+    ids = tok.encode("some words of a text")
+    tok.forget()
+    assert not (tok.words or tok.older or tok.auto.known or tok.auto.older) and tok.encode("some words of a text") == ids

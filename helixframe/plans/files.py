@@ -103,26 +103,9 @@ def src_sam_file(spark, sf):
 
 
 def _sam_blocks(spark: SparkSession, sf: str) -> str:
-    """A blocked SAM file with a .tbi index, written by the driver from the small synthetic table."""
+    """A blocked SAM file of the synthetic reads with a .tbi index."""
     path = _scratch(spark) + ".sam.gz"
-    rows = sam.sam_lines(_records(spark, sf)).join(_records(spark, sf).select("read_id", "tid", "pos", "end_pos"), "read_id").orderBy("tid", "pos", "read_id")
-    build, names = index.Builder(len(CONTIGS)), [n for n, _ in CONTIGS]
-    with open(path, "wb") as f:
-        w = bgzf.Writer(f)
-        w.write(HEADER.encode())
-        w.flush()
-        for r in rows.toLocalIterator():
-            data = r["value"].encode() + b"\n"
-            if len(w.held) + len(data) > bgzf.BLOCK:
-                w.flush()
-            at = w.tell()
-            w.write(data)
-            build.push(r["tid"], r["pos"], r["end_pos"] + 1, at, w.tell())
-        w.close()
-    with open(path + ".tbi", "wb") as f:
-        t = bgzf.Writer(f)
-        t.write(build.tbi(names))
-        t.close()
+    sam.write_sam_blocks(_records(spark, sf), HEADER, path, [n for n, _ in CONTIGS])
     return path
 
 

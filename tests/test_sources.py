@@ -1,3 +1,4 @@
+import gzip
 import io
 
 import pytest
@@ -195,3 +196,18 @@ def test_bcf_values():
 
     assert bcf.integers([5]) == b"\x11\x05" and bcf.integers([-121])[:1] == b"\x12" and bcf.integers([None, 3]) == b"\x21\x80\x03" and bcf.integers([40000])[:1] == b"\x13"
     assert bcf.vectors([[1], [1, 2]]) == b"\x21\x01\x81\x01\x02" and bcf.text("a" * 20)[:3] == b"\xf7\x11\x14" and bcf.floats([None]) == b"\x15\x01\x00\x80\x7f"
+
+
+def test_blocked_sam_is_written_by_tasks(spark, reads, tmp_path, monkeypatch):
+    """No row comes to the driver; the parts' indexes make one that finds every read."""
+    path, header = str(tmp_path / "a.sam.gz"), TEXT[: TEXT.index("r1")]
+    monkeypatch.setattr(type(reads), "toLocalIterator", None)
+    many = reads.crossJoin(spark.range(3000).toDF("copy")).withColumns({"read_id": F.col("read_id") * 3000 + F.col("copy"), "pos": (F.col("pos") + F.col("copy") % 90).cast("int"), "end_pos": (F.col("end_pos") + F.col("copy") % 90).cast("int")})
+    sam.write_sam_blocks(many, header, path, ["c1", "c2"], partitions=5)
+    back = sam.read_sam_blocks(spark, path, malformed="fail")
+    key = ["qname", "contig", "pos", "end_pos", "seq"]
+    assert sorted(map(tuple, back.select(key).collect())) == sorted(map(tuple, many.select(key).collect()))
+    with gzip.open(path) as f:
+        assert f.read().startswith(header.encode()) and not [n for n in tmp_path.iterdir() if "staging" in n.name]
+    near = sam.read_sam_blocks(spark, path, "c1", 40050, 40060)
+    assert near.count() == many.where("contig = 'c1' and pos <= 40060 and end_pos >= 40050").count() > 0

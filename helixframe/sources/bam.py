@@ -313,21 +313,48 @@ class BamSource(DataSource):
         return BamWriter(self.options, overwrite)
 
 
+#: Compressed bytes of a piece of a BAM file in memory, and rows that a worker holds while it decodes one.
+PIECE_BYTES, PIECE_ROWS = 1 << 20, 2_000
+
+
+def _pieces(data: bytes, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """(first, stop, bytes) of runs of whole blocks of about ``size`` bytes: the virtual offsets of their first record and of the end of their last, and the blocks from first's on."""
+    import io
+
+    r = bgzf.Reader(io.BytesIO(data))
+    Header.read(r)
+    first = r.tell()
+    while True:
+        r.skip_records()
+        head = r.read(4)
+        if len(head) == 4:  # a record that goes on in the next block
+            r.read(struct.unpack("<i", head)[0])
+        here, after = r.tell(), r.f.tell()
+        done = len(head) < 4
+        if here > first and (done or (here >> 16) - (first >> 16) >= size):
+            yield first, here, data[first >> 16 : after]
+            first = here
+        if done:
+            return
+
+
 def read_bytes(spark: SparkSession, data: bytes, keep_unmapped: bool = False) -> DataFrame:
-    """reads of the contents of one BAM file; record numbers are places in it.  The bytes travel as one row to the worker that decodes them."""
-    names = T.DataType.fromDDL(SCHEMA).names
+    """reads of the contents of one BAM file; record numbers are places in it.
 
-    def rows(batches):
-        import io
+    The driver finds where records start; runs of blocks travel as a row each, and workers decode PIECE_ROWS records at a time.
+    """
+    import io
 
+    names, contigs = T.DataType.fromDDL(SCHEMA).names, Header.read(bgzf.Reader(io.BytesIO(data))).contigs
+
+    def rows(batches):
         import pandas as pd
 
         for batch in batches:
-            for raw in batch["data"]:
-                r = bgzf.Reader(io.BytesIO(bytes(raw)))
-                contigs, found = Header.read(r).contigs, []
-                while True:
-                    here = r.tell()
+            for first, stop, raw in zip(batch["first"].tolist(), batch["stop"].tolist(), batch["data"], strict=True):
+                base = first >> 16 << 16
+                r, found = bgzf.Reader(io.BytesIO(bytes(raw)), first - base), []
+                while (here := r.tell() + base) < stop:
                     size = r.read(4)
                     if len(size) < 4:
                         break
@@ -336,9 +363,15 @@ def read_bytes(spark: SparkSession, data: bytes, keep_unmapped: bool = False) ->
                         row["cigar"] = [{"op": o, "len": n} for o, n in row["cigar"]]
                         row["aux"] = {k: dict(zip(("type", "i", "f", "s", "a"), v, strict=True)) for k, v in row["aux"].items()}
                         found.append(row)
-                yield pd.DataFrame(found, columns=names)
-
-    return spark.createDataFrame([(bytearray(data),)], "data binary").mapInPandas(rows, SCHEMA)
+                    if len(found) == PIECE_ROWS:
+                        yield pd.DataFrame(found, columns=names)
+                        found = []
+                if found:
+                    yield pd.DataFrame(found, columns=names)
+
+    parts = [(first, stop, bytearray(raw)) for first, stop, raw in _pieces(data, PIECE_BYTES)]
+    rdd = spark.sparkContext.parallelize(parts, max(1, len(parts)))
+    return spark.createDataFrame(rdd, "first long, stop long, data binary").mapInPandas(rows, SCHEMA)
 
 
 def read_bam(spark: SparkSession, path: str, **options) -> DataFrame:

@@ -211,3 +211,24 @@ def test_blocked_sam_is_written_by_tasks(spark, reads, tmp_path, monkeypatch):
         assert f.read().startswith(header.encode()) and not [n for n in tmp_path.iterdir() if "staging" in n.name]
     near = sam.read_sam_blocks(spark, path, "c1", 40050, 40060)
     assert near.count() == many.where("contig = 'c1' and pos <= 40060 and end_pos >= 40050").count() > 0
+
+
+@pytest.mark.parametrize("block", [700, 40_000])
+def test_bytes_of_a_bam_file_travel_in_pieces(spark, reads, tmp_path, monkeypatch, block):
+    """Records that lie across blocks and pieces come once, and no row holds the whole file."""
+    many = reads.crossJoin(spark.range(2000).toDF("copy")).withColumns({"read_id": F.col("read_id") * 2000 + F.col("copy"), "qname": F.concat("qname", F.lit("-"), F.col("copy").cast("string"))})
+    bam.write_bam(many, str(tmp_path / "b"), [("c1", 100000), ("c2", 500)], TEXT[: TEXT.index("r1")], partitions=1)
+    (file,) = [p for p in (tmp_path / "b").iterdir() if p.name.endswith(".bam")]
+    raw = gzip.decompress(file.read_bytes())
+    data = b"".join(bgzf.encode_block(raw[k : k + block]) for k in range(0, len(raw), block)) + bgzf.EOF_BLOCK
+    monkeypatch.setattr(bam, "PIECE_BYTES", 5000)
+    parts = list(bam._pieces(data, 5000))
+    assert len(parts) > 3 and max(len(p) for _, _, p in parts) < len(data) / 2
+    back = bam.read_bytes(spark, data)
+    assert back.rdd.getNumPartitions() == len(parts)
+    key = ["qname", "flags", "contig", "pos", "end_pos", "seq", "qual"]
+    rows = back.select("read_id", *key).collect()
+    assert len({r.read_id for r in rows}) == len(rows)
+    assert sorted(tuple(r)[1:] for r in rows) == sorted(map(tuple, many.select(key).collect()))
+    head = bgzf.encode_block(raw[: raw.index(b"r1-")][:-36]) + bgzf.EOF_BLOCK
+    assert bam.read_bytes(spark, head).count() == 0

@@ -110,6 +110,7 @@ def read_sam_blocks(spark: SparkSession, path: str, contig: str | None = None, s
     """reads of a blocked SAM file (.sam.gz) with a .tbi or .csi index: of a region (0-based, inclusive), or of the whole file in parallel.
 
     The driver reads the header and the index; a task reads each run of blocks.  Options as those of parse_sam.
+    The contigs are the side to broadcast: from the few rows of the runs' table Spark would take the reads for the smaller side, and collect them.
     """
     found = next((path + e for e in (".tbi", ".csi") if os.path.exists(path + e)), None)
     if found is None:
@@ -123,7 +124,7 @@ def read_sam_blocks(spark: SparkSession, path: str, contig: str | None = None, s
             head.append(line.decode().rstrip("\r\n"))
             here = r.tell()
     check_sort_order("\n".join(head))
-    contigs = header_contigs(spark.createDataFrame([(line,) for line in head], "value string").coalesce(1))
+    contigs = F.broadcast(header_contigs(spark.createDataFrame([(line,) for line in head], "value string").coalesce(1)))
     if contig is not None:
         if contig not in index.names:
             raise ValueError(f"unknown contig {contig!r}; there are {', '.join(index.names[:100])}")

@@ -213,6 +213,23 @@ def test_blocked_sam_is_written_by_tasks(spark, reads, tmp_path, monkeypatch):
     assert near.count() == many.where("contig = 'c1' and pos <= 40060 and end_pos >= 40050").count() > 0
 
 
+def test_reads_of_a_blocked_file_are_not_broadcast(spark, reads, tmp_path):
+    """A few runs of blocks hold many reads, which the size of the runs' table does not tell; only the header's contigs may pass through the driver."""
+    path, header = str(tmp_path / "a.sam.gz"), TEXT[: TEXT.index("r1")]
+    many = reads.crossJoin(spark.range(3000).toDF("copy")).withColumn("read_id", F.col("read_id") * 3000 + F.col("copy"))
+    sam.write_sam_blocks(many, header, path, ["c1", "c2"], partitions=5)
+    back = sam.read_sam_blocks(spark, path)
+    assert len(back.collect()) == 9000
+
+    def below(node):
+        children = [node.children().apply(k) for k in range(node.children().size())]
+        children += [getattr(node, k)() for k, name in (("executedPlan", "AdaptiveSparkPlan"), ("plan", "QueryStage")) if name in node.nodeName() or name in node.getClass().getSimpleName()]
+        return [node, *(n for c in children for n in below(c))]
+
+    sent = [n for n in below(back._jdf.queryExecution().executedPlan()) if n.getClass().getSimpleName() == "BroadcastExchangeExec"]
+    assert len(sent) == 2 and all(n.metrics().apply("numOutputRows").value() == 2 for n in sent)
+
+
 @pytest.mark.parametrize("block", [700, 40_000])
 def test_bytes_of_a_bam_file_travel_in_pieces(spark, reads, tmp_path, monkeypatch, block):
     """Records that lie across blocks and pieces come once, and no row holds the whole file."""
